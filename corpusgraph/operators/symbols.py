@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import ordered_concat
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 
 def _order_struct(order_cols: Sequence[str]):
@@ -75,40 +75,41 @@ def keep_first_greedy(specs: DataFrame, group_cols: Sequence[str], spec_col: str
     """
     ensure_checkpoint_dir(specs.sparkSession)
     g = list(group_cols)
-    spec_names = (specs.select(*g, spec_col, order_col, F.explode(names_col).alias("_name"))
-                  .where(F.col("_name") != "_").distinct().checkpoint(eager=True))
+    ids = list(dict.fromkeys([spec_col, order_col]))
+    spec_names = materialize(
+        specs.select(*g, *ids, F.explode(names_col).alias("_name"))
+        .where(F.col("_name") != "_").distinct(), "spec_names")
     # Specs with no blocking name are kept outright.
-    named = spec_names.select(*g, spec_col, order_col).distinct().withColumn("_named", F.lit(True))
-    state = (specs.select(*g, spec_col, order_col).distinct()
-             .join(named, [*g, spec_col, order_col], "left")
-             .select(*g, spec_col, order_col,
-                     F.when(F.col("_named"), F.lit(None).cast("boolean"))
-                     .otherwise(F.lit(True)).alias("_st"))
-             .checkpoint(eager=True))
+    named = spec_names.select(*g, *ids).distinct().withColumn("_named", F.lit(True))
+    state = materialize(
+        specs.select(*g, *ids).distinct()
+        .join(named, [*g, *ids], "left")
+        .select(*g, *ids,
+                F.when(F.col("_named"), F.lit(None).cast("boolean"))
+                .otherwise(F.lit(True)).alias("_st")), "greedy_state")
     rnd = 0
     while True:
         rnd += 1
         if max_rounds is not None and rnd > max_rounds:
             raise RuntimeError(f"greedy policy did not converge within {max_rounds} rounds")
-        sn = spec_names.join(state, [*g, spec_col, order_col])
+        sn = spec_names.join(state, [*g, *ids])
         per_name = sn.groupBy(*g, "_name").agg(
             F.min(F.when(F.col("_st").isNull() | F.col("_st"), F.col(order_col))).alias("_alive"),
             F.min(F.when(F.col("_st"), F.col(order_col))).alias("_kept"))
         votes = (sn.where(F.col("_st").isNull())
                  .join(per_name, [*g, "_name"])
-                 .groupBy(*g, spec_col, order_col).agg(
+                 .groupBy(*g, *ids).agg(
                      F.bool_or(F.col("_kept") < F.col(order_col)).alias("_drop"),
                      F.bool_and(F.col("_alive") == F.col(order_col)).alias("_keep")))
-        decided = votes.select(*g, spec_col, order_col,
+        decided = votes.select(*g, *ids,
                                F.when(F.col("_drop"), F.lit(False))
                                .when(F.col("_keep"), F.lit(True)).alias("_new"))
-        nxt = (state.join(decided, [*g, spec_col, order_col], "left")
-               .select(*g, spec_col, order_col, F.coalesce("_st", "_new").alias("_st"))
-               .checkpoint(eager=True))
-        state = nxt
+        nxt = (state.join(decided, [*g, *ids], "left")
+               .select(*g, *ids, F.coalesce("_st", "_new").alias("_st")))
+        state, _ = materialize(nxt, f"greedy_round{rnd}", with_count=True)
         if state.where(F.col("_st").isNull()).isEmpty():
             break
-    return (specs.join(state, [*g, spec_col, order_col], "left")
+    return (specs.join(state, [*g, *ids], "left")
             .withColumn("kept", F.coalesce(F.col("_st"), F.lit(True))).drop("_st"))
 
 

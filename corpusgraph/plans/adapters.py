@@ -20,8 +20,27 @@ ALL_LANGS = None
 MIN_MENTION_LENGTH = 4
 
 
+# Tables whose rows carry whole texts: per-row CPU (regex, splitting) dominates.
+TEXT_TABLES = frozenset({"documents", "pages", "conversations", "benchmark"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table.  Text tables are fanned out over the cluster's
+    cores when the scan yields fewer splits than that (a single large row
+    group is one task); with many files / row groups this is a no-op."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = fan_out(df)
+    return df
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the default parallelism, only if the input
+    has fewer partitions than cores (checked on the plan, no job)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def doc_units(documents: DataFrame, langs: Sequence[str] | None = ENGLISH) -> DataFrame:
@@ -33,9 +52,14 @@ def doc_units(documents: DataFrame, langs: Sequence[str] | None = ENGLISH) -> Da
     d = documents.select("doc_id", "source", "lang", "text")
     if langs is not None:
         d = d.where(F.col("lang").isin(list(langs)))
+    # Words are computed inside the generator so that later filters refer to
+    # the generated column instead of re-running the regex.
+    per_line = F.transform(S.lines("text"), lambda ln: F.struct(ln.alias("line"),
+                                                                S.words(ln).alias("words")))
     ex = d.select(F.col("source").alias("corpus_id"), "doc_id", "lang",
-                  F.posexplode(S.lines("text")).alias("pos", "line"))
-    ex = ex.withColumn("words", S.words("line")).where(F.size("words") >= 2)
+                  F.posexplode(per_line).alias("pos", "u"))
+    ex = ex.select("corpus_id", "doc_id", "lang", "pos", "u.line", "u.words").where(
+        F.size("words") >= 2)
     name = F.col("words")[0]
     return ex.select(
         "corpus_id", "doc_id", "lang", (F.col("pos") + 1).cast("bigint").alias("ln"), "line",

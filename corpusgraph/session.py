@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -60,3 +62,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="corpusgraph-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def materialize(df: DataFrame, tag: str = "step", with_count: bool = False):
+    """Write ``df`` as a parquet table under the reliable checkpoint directory
+    and return a frame reading it back (and its row count if ``with_count``).
+
+    One job (unlike ``checkpoint()`` on an un-persisted frame, which computes
+    the plan twice), lineage cut to a file scan, and the files live on the
+    shared checkpoint storage, so a lost executor never loses the result.
+    The row count comes from an ``Observation`` on the write itself, so the
+    emptiness test of an iteration costs no extra job.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/corpusgraph-tables/{tag}-{uuid.uuid4().hex}"
+    schema = df.schema
+    if with_count:
+        obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+        df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(path)
+        n = int(obs.get["n"])
+        return spark.read.schema(schema).parquet(path), n
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(schema).parquet(path)
