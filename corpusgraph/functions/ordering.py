@@ -51,8 +51,8 @@ def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     # At most (#partitions a group spans) rows per group: small, safe to window.
     stats = ranged.groupBy(*group_cols, "_pid").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
+    spec = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+    before = spec.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     joined = ranged.join(stats.select(*group_cols, "_pid", "_first", "_off"),
                          [*group_cols, "_pid"])

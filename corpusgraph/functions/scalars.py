@@ -87,9 +87,10 @@ def symbol_key_raw(recv: str | Column, name: str | Column) -> Column:
     return F.concat_ws(".", F.when(r != "", r), col(name))
 
 
-def position_key(path, line, column, name, reserved: Iterable[str] = ROOT_FUNCTIONS) -> Column:
-    """Unique key per declaration occurrence; reserved names keep their bare name."""
-    pos = F.concat_ws(":", col(path), col(line).cast("string"), col(column).cast("string"))
+def position_key(parts, name, reserved: Iterable[str] = ROOT_FUNCTIONS) -> Column:
+    """Unique key per declaration occurrence (``path:line:col`` of ``parts``);
+    reserved names keep their bare name."""
+    pos = F.concat_ws(":", *[col(p).cast("string") for p in parts])
     return F.when(col(name).isin(list(reserved)), col(name)).otherwise(pos)
 
 
