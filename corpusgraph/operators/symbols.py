@@ -10,6 +10,7 @@ collects a whole group into one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,48 +70,57 @@ def keep_first_greedy(specs: DataFrame, group_cols: Sequence[str], spec_col: str
     (group, name) take the first *alive* (kept or undecided) spec and the first
     *kept* spec.  An undecided spec is kept when it is the first alive spec of
     all its names, dropped when some name already has an earlier kept spec.
-    The first undecided spec of every group is decided in each round, and
-    usually whole chains are.  Returns ``specs`` plus boolean ``kept``.
+    The first undecided spec of every group is decided in each round (usually
+    whole runs are), and dropped specs leave the working set for good.
+    Per-name minima are map-side aggregates, so a name shared by a third of
+    all specs is no hot task.  Returns ``specs`` plus boolean ``kept``.
     ``_`` is not a name (it never blocks).
     """
     ensure_checkpoint_dir(specs.sparkSession)
     g = list(group_cols)
     ids = list(dict.fromkeys([spec_col, order_col]))
-    spec_names = materialize(
-        specs.select(*g, *ids, F.explode(names_col).alias("_name"))
-        .where(F.col("_name") != "_").distinct(), "spec_names")
-    # Specs with no blocking name are kept outright.
-    named = spec_names.select(*g, *ids).distinct().withColumn("_named", F.lit(True))
-    state = materialize(
-        specs.select(*g, *ids).distinct()
-        .join(named, [*g, *ids], "left")
-        .select(*g, *ids,
-                F.when(F.col("_named"), F.lit(None).cast("boolean"))
-                .otherwise(F.lit(True)).alias("_st")), "greedy_state")
+    spec_names = (specs.select(*g, *ids, F.explode(names_col).alias("_name"))
+                  .where(F.col("_name") != "_").distinct())
+    # Working set: (spec, name, status) of specs that are not dropped.  When no
+    # spec is undecided any more it holds exactly the kept specs.
+    work = materialize(spec_names.withColumn("_st", F.lit(None).cast("boolean")), "greedy_work")
     rnd = 0
     while True:
         rnd += 1
         if max_rounds is not None and rnd > max_rounds:
             raise RuntimeError(f"greedy policy did not converge within {max_rounds} rounds")
-        sn = spec_names.join(state, [*g, *ids])
-        per_name = sn.groupBy(*g, "_name").agg(
-            F.min(F.when(F.col("_st").isNull() | F.col("_st"), F.col(order_col))).alias("_alive"),
+        per_name = work.groupBy(*g, "_name").agg(
+            F.min(F.col(order_col)).alias("_alive"),
             F.min(F.when(F.col("_st"), F.col(order_col))).alias("_kept"))
-        votes = (sn.where(F.col("_st").isNull())
+        votes = (work.where(F.col("_st").isNull())
                  .join(per_name, [*g, "_name"])
                  .groupBy(*g, *ids).agg(
                      F.bool_or(F.col("_kept") < F.col(order_col)).alias("_drop"),
-                     F.bool_and(F.col("_alive") == F.col(order_col)).alias("_keep")))
-        decided = votes.select(*g, *ids,
-                               F.when(F.col("_drop"), F.lit(False))
-                               .when(F.col("_keep"), F.lit(True)).alias("_new"))
-        nxt = (state.join(decided, [*g, *ids], "left")
-               .select(*g, *ids, F.coalesce("_st", "_new").alias("_st")))
-        state, _ = materialize(nxt, f"greedy_round{rnd}", with_count=True)
-        if state.where(F.col("_st").isNull()).isEmpty():
+                     F.bool_and(F.col("_alive") == F.col(order_col)).alias("_keep"))
+                 .select(*g, *ids, F.when(F.col("_drop"), F.lit(False))
+                         .when(F.col("_keep"), F.lit(True)).alias("_new")))
+        nxt = (work.join(votes, [*g, *ids], "left")
+               .withColumn("_st", F.coalesce("_st", "_new")).drop("_new")
+               .where(F.col("_st").isNull() | F.col("_st")))
+        work, n_open = _write_counting_open(nxt, f"greedy_work{rnd}")
+        if n_open == 0:
             break
-    return (specs.join(state, [*g, *ids], "left")
-            .withColumn("kept", F.coalesce(F.col("_st"), F.lit(True))).drop("_st"))
+    kept = work.select(*g, *ids).distinct().withColumn("_k", F.lit(True))
+    named = spec_names.select(*g, *ids).distinct().withColumn("_named", F.lit(True))
+    return (specs.join(kept, [*g, *ids], "left").join(named, [*g, *ids], "left")
+            .withColumn("kept", F.coalesce(F.col("_k"), ~F.coalesce(F.col("_named"), F.lit(False))))
+            .drop("_k", "_named"))
+
+
+def _write_counting_open(df: DataFrame, tag: str):
+    """Materialize the greedy working set and count its undecided rows in the
+    same job (``Observation``)."""
+    import uuid
+    from pyspark.sql import Observation
+    obs = Observation(f"open_{uuid.uuid4().hex[:8]}")
+    observed = df.observe(obs, F.count_if(F.col("_st").isNull()).alias("open"))
+    out = materialize(observed, tag)
+    return out, int(obs.get["open"])
 
 
 def distinct_on(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.ordering import bounded_broadcast, group_ordinal
+from ..session import materialize
 from ..operators import assemble, links, rename, symbols
 from ..sources import files as sources
 from . import adapters as A
@@ -31,6 +32,13 @@ def _units(spark: SparkSession, sf_dir: str, langs=A.ENGLISH) -> DataFrame:
     return A.doc_units(A.table(spark, sf_dir, "documents"), langs)
 
 
+def _units_once(spark: SparkSession, sf_dir: str, langs=A.ENGLISH) -> DataFrame:
+    """DOC units written once to the checkpoint storage, for queries that read
+    them several times (edges, seeds, pruning): the text is split and
+    regex-scanned a single time."""
+    return materialize(_units(spark, sf_dir, langs), "doc_units")
+
+
 def _edges(units: DataFrame) -> DataFrame:
     """J1 over DOC: mentions that name a unit of the same corpus."""
     return symbols.known_refs(A.doc_mentions(units),
@@ -39,7 +47,7 @@ def _edges(units: DataFrame) -> DataFrame:
 
 
 def _reach_from_min(units: DataFrame) -> DataFrame:
-    edges = _edges(units)
+    edges = materialize(_edges(units), "doc_edges")
     seeds = C.min_seed(edges, ["corpus_id"], node="name")
     return C.reachable(seeds, edges, ["corpus_id"], node="name")
 
@@ -54,14 +62,14 @@ _REACH_SQL = _PRE + """seeds AS (SELECT corpus_id, min(src) AS key FROM doc_edge
 @register("c1_reachable_words", _REACH_SQL + "SELECT corpus_id, key AS name, hop FROM reach")
 def c1_reachable_words(spark, sf_dir):
     """Names reachable per source from its smallest edge source, with min hop."""
-    return _reach_from_min(_units(spark, sf_dir))
+    return _reach_from_min(_units_once(spark, sf_dir))
 
 
 @register("u2_prune", _REACH_SQL + """
 SELECT u.corpus_id, u.doc_id, u.ln, u.name FROM doc_units u
 WHERE EXISTS (SELECT 1 FROM reach r WHERE r.corpus_id = u.corpus_id AND r.key = u.name)""")
 def u2_prune(spark, sf_dir):
-    units = _units(spark, sf_dir)
+    units = _units_once(spark, sf_dir)
     kept = C.prune(units, _reach_from_min(units), ["corpus_id", "name"])
     return kept.select("corpus_id", "doc_id", "ln", "name")
 
@@ -77,7 +85,7 @@ FROM kept GROUP BY corpus_id"""
 
 def bundle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C5 on DOC: closure from each source's root -> prune -> order -> text."""
-    units = _units(spark, sf_dir)
+    units = _units_once(spark, sf_dir)
     kept = C.prune(units, _reach_from_min(units), ["corpus_id", "name"])
     return assemble.assemble_text(kept, ["corpus_id"], ["doc_id", "ln"], text_col="line").select(
         "corpus_id", "n_parts", "n_bytes", "text")
@@ -151,7 +159,7 @@ SELECT u.corpus_id, u.doc_id, u.ln, g.kept FROM units_n u JOIN g ON g.corpus_id
 def a2_greedy(spark, sf_dir):
     """Greedy const policy: a unit (names = its first two words) is kept only
     if no earlier kept unit of the source registered one of its names."""
-    units = _units(spark, sf_dir).select(
+    units = _units_once(spark, sf_dir).select(
         "corpus_id", "doc_id", "ln", F.array_distinct(F.slice("words", 1, 2)).alias("names"),
         F.struct("doc_id", "ln").alias("_ord"))
     out = symbols.keep_first_greedy(units, ["corpus_id"], "_ord", "_ord", "names")
@@ -234,7 +242,7 @@ SELECT corpus_id, key AS name, hop FROM reach""")
 def c2_package_closure(spark, sf_dir):
     """Seeds = declared names used right after the qualifier word (P10);
     closure over the mention edges."""
-    units = _units(spark, sf_dir)
+    units = _units_once(spark, sf_dir)
     pairs = links.qualified_pairs(units, "words", ["corpus_id"], qualifier_value=QUALIFIER)
     seeds = (pairs.where(F.length("name") >= 6).select("corpus_id", "name")
              .join(A.doc_names(units), ["corpus_id", "name"], "left_semi"))
@@ -249,7 +257,7 @@ SELECT key AS name, hop FROM reach""")
 def c4_complete_missing(spark, sf_dir):
     """Start from everything the root source declares and keep adding what is
     mentioned and declared by any source, to a fixed point."""
-    units = _units(spark, sf_dir)
+    units = _units_once(spark, sf_dir)
     names = units.select("name").distinct()
     edges = symbols.known_refs(A.doc_mentions(units).select("src", "dst"),
                                names.withColumnRenamed("name", "dst"), ["dst"])
