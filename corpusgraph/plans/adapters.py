@@ -102,3 +102,42 @@ def page_edges(nodes: DataFrame) -> DataFrame:
     return (refs.join(named, "ref")
             .where(F.col("src") != F.col("dst"))
             .select("src", "dst").distinct())
+
+
+# Fixed value: identifiers of the code view are words behind this prefix, so
+# that no word can collide with a Go keyword.
+CODE_IDENT_PREFIX = "w_"
+
+
+def doc_programs(documents: DataFrame, langs: Sequence[str] | None = ENGLISH):
+    """CODE view of DOC: every source becomes one Go program (module
+    ``docs/<source>``, root package ``''``).  Each document is a file in which
+    every unit is ``func w_<name>() { w_<mention>() ... }``; a ``main.go`` per
+    source calls the function of the source's first unit (by doc, line).
+
+    Returns ``(files, manifests)`` in the schema of ``code_bundle``.  Only
+    text formatting happens here; lexing, declarations, the mention graph and
+    pruning are the code bundle's job.
+    """
+    d = documents.select("doc_id", "source", "lang", "text")
+    if langs is not None:
+        d = d.where(F.col("lang").isin(list(langs)))
+    p = F.lit(CODE_IDENT_PREFIX)
+    per_line = F.filter(F.transform(S.lines("text"), lambda ln: S.words(ln)), lambda w: F.size(w) >= 2)
+    funcs = F.transform(per_line, lambda w: F.concat(
+        F.lit("func "), p, w[0], F.lit("() {\n"),
+        F.array_join(F.transform(
+            F.filter(F.slice(w, 2, F.size(w)), lambda m: (F.length(m) >= MIN_MENTION_LENGTH) & (m != w[0])),
+            lambda m: F.concat(F.lit("\t"), p, m, F.lit("()\n"))), ""),
+        F.lit("}\n")))
+    files = d.select(F.col("source").alias("corpus_id"),
+                     F.concat(F.col("doc_id").cast("string"), F.lit(".go")).alias("path"),
+                     F.concat(F.lit("package main\n\n"), F.array_join(funcs, "\n")).alias("src"))
+    first = (doc_units(documents, langs).groupBy("corpus_id")
+             .agg(F.min_by("name", F.struct("doc_id", "ln")).alias("first")))
+    mains = first.select("corpus_id", F.lit("main.go").alias("path"),
+                         F.concat(F.lit("package main\n\nfunc main() {\n\t"), p, F.col("first"),
+                                  F.lit("()\n}\n")).alias("src"))
+    manifests = first.select("corpus_id", F.concat(F.lit("docs/"), F.col("corpus_id")).alias("module_name"),
+                             F.lit("").alias("root_pkg"))
+    return files.unionByName(mains), manifests

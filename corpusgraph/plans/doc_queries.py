@@ -429,3 +429,26 @@ FROM documents GROUP BY source""")
 def s7_bundle_report(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), "text")
     return sources.bundle_report(docs, ["corpus_id"], "text")
+
+
+# ------------------------------------------------------------------ C5 on code
+
+@register("c5_bundle_code", _PRE + """first AS (
+  SELECT corpus_id, name AS key FROM (
+    SELECT corpus_id, name, row_number() OVER (PARTITION BY corpus_id ORDER BY doc_id, ln) AS rn
+    FROM doc_units) WHERE rn = 1),
+""" + Q.bfs("reach", "first", "doc_edges") + """,
+kept AS (SELECT corpus_id, count(*) AS n FROM doc_units u
+  WHERE EXISTS (SELECT 1 FROM reach r WHERE r.corpus_id = u.corpus_id AND r.key = u.name)
+  GROUP BY corpus_id)
+SELECT c.corpus_id, CAST(1 + coalesce(k.n, 0) AS BIGINT) AS n_specs, 'ok' AS status
+FROM (SELECT DISTINCT corpus_id FROM doc_units) c LEFT JOIN kept k USING (corpus_id)""")
+def c5_bundle_code(spark, sf_dir):
+    """The full code bundle (lex -> specs -> policies -> mention graph ->
+    closure from main -> prune -> rename -> assembly) on the CODE view of the
+    English documents: one Go program per source.  Reports kept specs and
+    status per program."""
+    from .code_bundle import bundle_corpora
+    files, manifests = A.doc_programs(A.table(spark, sf_dir, "documents"))
+    out = bundle_corpora(files, manifests)
+    return out["bundles"].select("corpus_id", "n_specs", "status")
