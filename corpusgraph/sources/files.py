@@ -19,10 +19,11 @@ def read_source_files(spark: SparkSession, path: str, include: str = "*.go",
     directory of the file relative to ``path``.  Listing and reading are file
     scan tasks; the glob filter is applied during listing.
     """
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", include)
+    reader = spark.read.option("pathGlobFilter", include)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    df = reader.text(path).select(F.col("value").alias("src"),
+    # ``text()`` has its own wholetext argument; the reader option alone is overridden.
+    df = reader.text(path, wholetext=True).select(F.col("value").alias("src"),
                                   F.col("_metadata.file_path").alias("_abs"))
     root = path.rstrip("/")
     rel = F.regexp_replace(F.regexp_replace("_abs", r"^file:", ""), "^" + _regex_quote(root) + "/?", "")
