@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("exact_dedup",)
+MODULES = ("exact_dedup", "decontaminate", "packing")
 
 
 def register(name: str, oracle: str | None = None):
