@@ -7,7 +7,7 @@ row use ``rid``: a non-null unique long whose order is the order of ``doc_id``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +65,14 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]:off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each part holds about ``limit`` text bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, off = text_buffers(batch.column(batch.schema.get_field_index(column)))
+        at = batch.schema.get_field_index(column) if isinstance(column, str) else column
+        _, off = text_buffers(batch.column(at))
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(off, off[start] + limit, "right")) - 1
@@ -80,6 +81,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             start = end
 
 
+def keep_rows(docs: DataFrame, decider: Callable[[], Callable], text_col: str = "text",
+              limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``docs``, columns as they are, whose text is kept.  Each task
+    calls ``decider()`` once; what it returns maps (bytes, offsets) to a mask."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = decider()
+        for b in slices(batches, at, limit):
+            yield b.filter(pa.array(decide(*text_buffers(b.column(at)))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     h = h ^ (h >> U64(30))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE1, U64, Rolling, documents, keyed, mix, slices, text_buffers
+from .common import BASE1, U64, Rolling, documents, keep_rows, mix, slices, text_buffers
 from .registry import register
 
 WINDOW = 10
@@ -305,9 +305,17 @@ def benchmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go, all others stay as they are."""
-    rows = keyed(docs, rows=True)
-    bad = contamination(rows, benchmark_table(spark, sf_dir)).where(F.size("spans") > 0).select("rid")
-    return rows.join(bad, "rid", "left_anti").select("row.*")
+    for phrases in phrase_blocks(benchmark_table(spark, sf_dir), WINDOW, PHRASE_WORDS):
+        shipped = spark.sparkContext.broadcast(phrases)
+
+        def decider(shipped=shipped):
+            def clean(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+                _, _, doc, hit, _ = shard_hits(data, off, shipped.value)
+                return np.bincount(doc[hit], minlength=len(off) - 1) == 0
+            return clean
+
+        docs = keep_rows(docs, decider, limit=SHARD_BYTES)
+    return docs
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
