@@ -83,11 +83,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = state.select("digest", F.col("first.rid").alias("first_rid"),
                         F.col("first.doc_id").alias("first_id"), "n")
 
-    # Full bytes of every hit against the kept row's; hot digests are split by AQE's skew join.
-    hits = log.join(held.where("n > 1"), "digest").select(
-        "rid", "doc_id", "digest", "first_rid", "first_id", "n", text.alias("body"))
-    kept_body = (log.join(held.where("n > 1").select("digest", F.col("first_rid").alias("rid")), ["digest", "rid"])
-                 .select("digest", text.alias("kept_body")))
+    # Full bytes of every hit against the kept row's.  Texts are shuffled once, by row;
+    # after that only texts of hits move.  Hot digests are split by AQE's skew join.
+    hits = (log.select("rid", "doc_id", "digest").join(held.where("n > 1"), "digest")
+            .join(log.select("rid", text.alias("body")), "rid"))
+    hits = materialize(hits, "hits")
+    kept_body = hits.where("rid = first_rid").select("digest", F.col("body").alias("kept_body"))
     checked = materialize(
         hits.join(kept_body, "digest")
         .withColumn("same", F.col("body") == F.col("kept_body"))
