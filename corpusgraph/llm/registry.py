@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("exact_dedup", "decontaminate", "language_id", "packing")
+MODULES = ("exact_dedup", "decontaminate", "language_id", "near_dedup", "packing")
 
 
 def register(name: str, oracle: str | None = None):
