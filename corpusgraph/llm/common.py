@@ -137,6 +137,3 @@ class Rolling:
 BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-def sha(data: bytes) -> str:
-    import hashlib
-    return hashlib.sha256(data).hexdigest()

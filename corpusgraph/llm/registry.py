@@ -7,7 +7,8 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("exact_dedup", "decontaminate", "language_id", "near_dedup", "packing")
+MODULES = ("exact_dedup", "decontaminate", "language_id", "near_dedup", "packing",
+           "substring_dedup")
 
 
 def register(name: str, oracle: str | None = None):
