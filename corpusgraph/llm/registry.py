@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("exact_dedup", "decontaminate", "language_id", "near_dedup", "packing",
-           "substring_dedup")
+           "substring_dedup", "suffix_dedup")
 
 
 def register(name: str, oracle: str | None = None):

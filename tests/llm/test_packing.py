@@ -71,6 +71,18 @@ def test_chunked_ids_equal_the_tokenizer():
     assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_random_chunks_and_a_full_cache(monkeypatch):
+    monkeypatch.setattr(P, "CHUNK_CACHE", 500)
+    monkeypatch.setattr(P, "WORD_CACHE", 500)
+    r = random.Random(1)
+    t, e = Tokenizer.from_file(P.tokenizer_path()), P.Encoder(P.tokenizer_path())
+    signs = "abcXYZéÉßÇñ.,'!*&%$#<|>019-_ \n\té\u0301\u00a0\u2028Ωжy̆"
+    for _ in range(40):
+        texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(10)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_whole_query_on_edge_rows(spark):
     rows = [(1, "a b c"), (None, "a b c"), (2, None), (3, ""), (4, "x " * 9000), (1, "a b c"), (5, "dog " * 2000)]
     docs = spark.createDataFrame([(a, b, "z", 7) for a, b in rows], "doc_id long, text string, part string, rank int")
