@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,8 +37,9 @@ from .registry import register
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-#: White-space-free chunks whose ids a task remembers, by characters held.
-CACHE_CHARS = 16 << 20
+#: Bounds of what a worker remembers of chunks and of words: characters, and 40
+#: for each entry.
+CHUNK_CACHE, WORD_CACHE = 32 << 20, 48 << 20
 
 PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
           "part int, part_rank bigint")
@@ -51,31 +53,66 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+class Remembered(dict):
+    """Ids by string, made by ``find`` when missing; starts anew past its bound."""
+
+    def __init__(self, find: Callable[[str], bytes], bound: int):
+        super().__init__()
+        self.find, self.bound, self.held = find, bound, 0
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self[key] = self.find(key)
+        self.held += len(key) + 40
+        return ids
+
+    def trim(self) -> None:
+        if self.held > self.bound:
+            self.clear()
+            self.held = 0
+
+
 class Encoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
     The vocabulary drops white space and no token crosses it, so a text's ids
-    are those of its space- and newline-separated chunks; ids of frequent
-    chunks are remembered.
+    are those of its space- and newline-separated chunks.  It also splits letters
+    from other signs and knows no capitals, so a chunk of Latin letters and signs
+    behind them is its lower-cased word and its signs.  Ids of chunks and words
+    are remembered within bounds; anything else is encoded as it stands.
     """
 
+    #: Letters (no combining marks, so normal forms are the same), then signs.
+    SHAPE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+    _of_worker: dict[str, Encoder] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.held = 0
+        self.words = Remembered(self._tokens, WORD_CACHE)
+        self.chunks = Remembered(self._chunk, CHUNK_CACHE)
+
+    @classmethod
+    def shared(cls, path: str) -> Encoder:
+        """One per worker process: later tasks find what earlier ones remembered."""
+        if path not in cls._of_worker:
+            cls._of_worker[path] = cls(path)
+        return cls._of_worker[path]
+
+    def _tokens(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        m = self.SHAPE.fullmatch(chunk)
+        if m:
+            return self.words[m[1].lower()] + self.words[m[2]]
+        return self.words[chunk]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if self.held > CACHE_CHARS:
-            self.known, self.held = {"": b""}, 0
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*chunks) - self.known.keys())
-        for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-            self.held += len(chunk) + 40
-        for c in chunks:
-            yield b"".join(map(self.known.__getitem__, c))
+        for t in texts:
+            self.chunks.trim()
+            self.words.trim()
+            yield b"".join(map(self.chunks.__getitem__, (t or "").replace("\n", " ").split(" ")))
 
 
 def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -87,7 +124,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        encoder, seen, end = Encoder(path), np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
+        encoder, seen, end = Encoder.shared(path), np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
