@@ -158,13 +158,19 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     near = materialize(nearby_terms(spans), "terms")
     telling = disclosures(docs, near, support, generalise)
     flagged = (near.join(telling, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("share").alias("share"))
-               .select("rid", F.struct("start", F.when(F.col("share") >= remove, F.lit(KINDS.index("remove")))
-                                       .otherwise(F.lit(KINDS.index("generalise"))).alias("kind"), "end").alias("s")))
-    every = spans.select("rid", F.struct("start", "kind", "end").alias("s")).unionByName(flagged)
-    lists = every.groupBy("rid").agg(F.sort_array(F.collect_list("s")).alias("spans"))
-    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    lists = lists.select("rid", "spans", base.alias("base")).select("rid", F.filter("spans", lambda s: (
-        s["kind"] < len(BASE)) | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias("spans"))
+               .select("rid", "start", F.when(F.col("share") >= remove, F.lit(KINDS.index("remove")))
+                       .otherwise(F.lit(KINDS.index("generalise"))).alias("kind"), "end"))
+    every = spans.select("rid", "start", "kind", "end").unionByName(flagged)
+    # A term inside a base span goes: a base span before it in the order ends behind
+    # its start, or one after it starts before its end.
+    is_base = F.col("kind") < len(BASE)
+    place = Window.partitionBy("rid").orderBy("start", "kind", "end")
+    over_end = F.max(F.when(is_base, F.col("end"))).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    next_start = F.min(F.when(is_base, F.col("start"))).over(place.rowsBetween(0, Window.unboundedFollowing))
+    every = every.select("*", over_end.alias("over_end"), next_start.alias("next_start")).where(
+        is_base | ~(F.coalesce(F.col("over_end") > F.col("start"), F.lit(False))
+                    | F.coalesce(F.col("next_start") < F.col("end"), F.lit(False))))
+    lists = every.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return docs.select("rid", "doc_id").join(lists, "rid", "left").select(
         "rid", "doc_id", F.coalesce("spans", none).alias("spans"))
