@@ -47,8 +47,8 @@ def texts(seed, n=250):
 
 
 def test_base_spans_equal_the_patterns(spark):
-    rows = texts(1) + texts(2) + [None, "", "1" * 200_000, "4 " * 50_000, "a." * 50_000 + "@b.c", "+1" + " " * 50_000 + "2",
-                                  "x@y.z " * 3000]
+    rows = texts(1) + texts(2) + [None, "", "1" * 2000, "4 " * 1000, "a." * 1000 + "@b.c", "+1" + " " * 2000 + "2",
+                                  "x@y.z " * 500]
     docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(rows)], "doc_id long, text string, kind int").repartition(4)
     out = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans if s.kind < 4]
            for r in P.find_spans(keyed(docs)).collect()}
@@ -56,6 +56,13 @@ def test_base_spans_equal_the_patterns(spark):
         assert out[k] == brute(t), (k, (t or "")[:200])
 
 
+def test_very_long_runs_take_linear_time(spark):
+    """Texts on which the patterns as written would take quadratic time."""
+    rows = [(0, "1" * 200_000), (1, "4 " * 100_000), (2, "a." * 100_000 + "@b.c"), (3, "+1" + " " * 200_000 + "2")]
+    docs = spark.createDataFrame(rows, "rid long, text string").repartition(4)
+    assert [(r.rid, r.start, r.end) for r in P.base_spans(docs).collect()] == [(2, 0, 200_004)]
+
+
 def test_telling_terms_and_clean_documents(spark):
     rows = [(k, f"Write to Zaphod here at zb{k % 2}@x.org about the ship, please.") for k in range(6)]
     rows += [(100 + k, "Nothing about the ship, write here please at noon.") for k in range(60)]
