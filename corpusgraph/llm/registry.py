@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("exact_dedup", "decontaminate", "language_id", "near_dedup", "packing", "pii",
+MODULES = ("exact_dedup", "decontaminate", "language_id", "near_dedup", "packing", "pii", "secrets", "url_filter",
            "substring_dedup", "suffix_dedup")
 
 
