@@ -2,16 +2,15 @@
 
 A ``Window.partitionBy(group).orderBy(...)`` puts every row of a group into one
 task.  When one corpus can hold a third of all rows that is a single-task
-stage.  The two helpers here split a group over range partitions instead:
+stage.  The helpers here split a group over range partitions instead:
 
 * :func:`group_ordinal` — exact 1-based row number within a group, computed as
   "rows of this group in earlier range partitions" + "position inside this
   partition" (a zipWithIndex done with DataFrame operators).
-* :func:`ordered_concat` — ordered string aggregation per group, assembled as
-  sorted chunks per (group, range partition) and then chunk by chunk.
+* :func:`ordered_parts` — a group's text in order, as numbered parts of a
+  bounded number of rows; no cell ever holds a whole group.
 
-Both use ``repartitionByRange`` on (group, order) so that equal keys land in
-the same partition and partitions are contiguous, balanced key ranges.
+:func:`concat_in_order` is for groups that are bounded by their nature.
 """
 
 from __future__ import annotations
@@ -21,6 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Rows of one part of an ordered text.
+ROWS_PER_PART = 1000
+
 
 def _n_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -38,65 +42,51 @@ def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     ``order_cols`` (which should be unique within the group for a stable
     result, as a ``row_number()`` would need too).
 
-    Cost: one range shuffle (plus its sampling job), one small aggregate of
-    (group, partition) counts, one join back.  No task ever holds more than
-    one range partition, however large a single group is.
+    The range layout is written once and both the counts and the rows are read
+    from it: planned twice, the two branches would sample their own bounds and
+    the numbers would not fit each other.  No task holds more than one range
+    partition, however large a single group is.  Null groups are groups.
     """
     n = _n_partitions(df, partitions)
     keys = _cols([*group_cols, *order_cols])
-    ranged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = materialize(df.repartitionByRange(n, *keys)
+                         .sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "ranged")
     # At most (#partitions a group spans) rows per group: small, safe to window.
     stats = ranged.groupBy(*group_cols, "_pid").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     spec = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     before = spec.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = ranged.join(stats.select(*group_cols, "_pid", "_first", "_off"),
-                         [*group_cols, "_pid"])
+    joined = null_safe_join(ranged, stats.select(*group_cols, "_pid", "_first", "_off"), [*group_cols, "_pid"])
     return (joined
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
             .drop("_pid", "_mid", "_first", "_off"))
 
 
-def ordered_concat(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                   value_col: str, sep: str = "\n", out: str = "text",
-                   partitions: int | None = None) -> DataFrame:
-    """One row per group: ``value_col`` joined with ``sep`` in ``order_cols``
-    order (NULL values are skipped, as ``string_agg`` does).
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both-null ``on``; keeps the left side's columns of them."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = [left[c].eqNullSafe(named[f"_r_{c}"]) for c in on]
+    return left.join(named, cond, how).drop(*[f"_r_{c}" for c in on])
 
-    Stage 1 sorts and joins each (group, range partition) chunk in parallel,
-    stage 2 only concatenates at most #partitions pre-sorted chunks per group.
-    """
-    n = _n_partitions(df, partitions)
-    keys = _cols([*group_cols, *order_cols])
-    order_struct = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)])
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
-    chunks = ranged.groupBy(*group_cols, "_pid").agg(
-        F.min(order_struct).alias("_first"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(order_struct.alias("k"),
-                                                             F.col(value_col).alias("v")))),
-                        lambda s: s["v"]),
-            sep).alias("_chunk"),
-        F.count(F.col(value_col)).alias("_nv"))
-    # Chunks without any non-NULL value must not add separators.
-    chunks = chunks.where(F.col("_nv") > 0)
-    return chunks.groupBy(*group_cols).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_first", "_chunk"))),
-                        lambda s: s["_chunk"]),
-            sep).alias(out))
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows;
-    otherwise return it unchanged so the planner picks a shuffle join.
-
-    One cheap ``limit(max_rows + 1).count()`` action is the proof.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+
+def concat_in_order(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
+                    sep: str = "\n", out: str = "text") -> DataFrame:
+    """One row per group: non-null ``value_col`` joined with ``sep`` in order.  For
+    groups bounded by their nature only (the specs of one declaration, one part)."""
+    cell = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)], F.col(value_col).alias("_v"))
+    return df.where(F.col(value_col).isNotNull()).groupBy(*group_cols).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda s: s["_v"]), sep).alias(out),
+        F.count(F.lit(1)).cast("bigint").alias("_n")).select(*group_cols, out, F.col("_n").alias("n_rows"))
+
+
+def ordered_parts(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
+                  sep: str = "\n", out: str = "text", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """The group's non-null values in order, joined with ``sep`` to parts of at most
+    ``rows_per_part`` rows: ``group_cols, part`` (from 0) ``, out, n_rows``.  A group's
+    text is its parts in order, joined with ``sep``."""
+    ranked = group_ordinal(df.where(F.col(value_col).isNotNull()), group_cols, order_cols, out="_ord")
+    ranked = ranked.withColumn("part", F.floor((F.col("_ord") - 1) / F.lit(rows_per_part)).cast("bigint"))
+    return concat_in_order(ranked, [*group_cols, "part"], ["_ord"], value_col, sep, out)

@@ -16,9 +16,9 @@ ROOT_FUNCTIONS = ("main", "init")
 
 WORD_PATTERN = r"\p{L}+"
 
-# Bijective base-26 letters are produced digit by digit; seven digits cover
-# ordinals beyond eight billion, far past any package count per corpus.
-_PREFIX_DIGITS = 7
+# Bijective base-26 letters are produced digit by digit; fourteen digits cover
+# every BIGINT ordinal.
+_PREFIX_DIGITS = 14
 
 
 def col(c: str | Column) -> Column:
@@ -50,22 +50,12 @@ def ordinal_prefix(n: str | Column) -> Column:
     letters = []
     for k in reversed(range(_PREFIX_DIGITS)):
         s_k, s_k1, p = _geom(k), _geom(k + 1), 26 ** k
-        digit = ((n - F.lit(s_k)).cast("bigint") / F.lit(p)).cast("bigint")  # floor for n >= s_k
+        digit = F.call_function("div", n - F.lit(s_k), F.lit(p))  # exact; floor for n >= s_k
         letter = F.when(n >= F.lit(s_k1), F.chr(F.lit(96) + ((digit - 1) % 26) + 1))
         letters.append(letter)
     return F.concat_ws("", *letters)
 
 
-def ordinal_prefix_sql(n: str) -> str:
-    """The same bijective base-26 rule as SQL text (used by the oracles)."""
-    parts = []
-    for k in reversed(range(_PREFIX_DIGITS)):
-        s_k, s_k1, p = _geom(k), _geom(k + 1), 26 ** k
-        parts.append(
-            f"CASE WHEN {n} >= {s_k1} THEN chr(CAST(97 + ((({n} - {s_k}) // {p}) - 1) % 26 AS INTEGER)) ELSE '' END")
-    return "(" + " || ".join(parts) + ")"
-
-
 def receiver_type(recv: str | Column) -> Column:
     """Receiver type name without pointer star; NULL when absent or generic.
 
@@ -81,12 +71,6 @@ def symbol_key(recv: str | Column, name: str | Column) -> Column:
     return F.concat_ws(".", receiver_type(recv), col(name))
 
 
-def symbol_key_raw(recv: str | Column, name: str | Column) -> Column:
-    """``recv.name`` with the receiver taken as given (only NULL/empty dropped)."""
-    r = F.regexp_replace(col(recv), r"^\*", "")
-    return F.concat_ws(".", F.when(r != "", r), col(name))
-
-
 def position_key(parts, name, reserved: Iterable[str] = ROOT_FUNCTIONS) -> Column:
     """Unique key per declaration occurrence (``path:line:col`` of ``parts``);
     reserved names keep their bare name."""
@@ -94,10 +78,6 @@ def position_key(parts, name, reserved: Iterable[str] = ROOT_FUNCTIONS) -> Colum
     return F.when(col(name).isin(list(reserved)), col(name)).otherwise(pos)
 
 
-def trim_quotes(c) -> Column:
-    return F.expr(f"trim(BOTH '\"' FROM {c})") if isinstance(c, str) else F.regexp_replace(c, r'^"+|"+$', "")
-
-
 def base_name(path) -> Column:
     return F.substring_index(col(path), "/", -1)
 

@@ -3,7 +3,7 @@
 The reference prints sections in this order: imports, const blocks, vars,
 types, then functions sorted by key with ``main``/``init`` last.  Here the
 order is a set of columns; ``bundle_order`` numbers rows with the distributed
-:func:`group_ordinal`, ``assemble_text`` joins them with :func:`ordered_concat`.
+:func:`group_ordinal`, ``assemble_text`` joins them to :func:`ordered_parts`.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import group_ordinal, ordered_concat
+from ..functions.ordering import ROWS_PER_PART, group_ordinal, ordered_parts
 
 # Section order of a bundle (the reference emits imports, const
 # blocks, vars, types, then functions; root functions come last).
@@ -36,16 +36,11 @@ def bundle_order(specs: DataFrame, group_cols: Sequence[str], order_cols: Sequen
 
 
 def assemble_text(parts: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                  text_col: str = "text", sep: str = "\n", header: str | None = None,
-                  out: str = "text") -> DataFrame:
-    """B1: one text per group, parts in order, joined with ``sep``.
-
-    Adds ``n_parts`` and ``n_bytes`` (UTF-8 length of the final text) computed
-    with plain aggregates, so the sizes do not need the text itself.
-    """
-    text = ordered_concat(parts, group_cols, order_cols, text_col, sep=sep, out=out)
-    if header is not None:
-        text = text.withColumn(out, F.concat(F.lit(header), F.col(out)))
-    sizes = parts.groupBy(*group_cols).agg(F.count(F.col(text_col)).cast("bigint").alias("n_parts"))
-    return (text.join(sizes, list(group_cols))
-            .withColumn("n_bytes", F.octet_length(out).cast("bigint")))
+                  text_col: str = "text", sep: str = "\n", out: str = "text",
+                  rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """B1: each group's text in order, joined with ``sep``, as numbered parts of at
+    most ``rows_per_part`` rows: ``group_cols, part, n_parts`` (rows in it)
+    ``, n_bytes, out``.  Written part by part (S6) they are the group's text."""
+    text = ordered_parts(parts, group_cols, order_cols, text_col, sep, out, rows_per_part)
+    return text.select(*group_cols, "part", F.col("n_rows").alias("n_parts"),
+                       F.octet_length(out).cast("bigint").alias("n_bytes"), out)

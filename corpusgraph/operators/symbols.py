@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import ordered_concat
+from ..functions.ordering import null_safe_join, ordered_parts
 from ..session import ensure_checkpoint_dir, materialize
 
 
@@ -132,13 +132,11 @@ def distinct_on(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def methods_by_type(funcs: DataFrame, type_cols: Sequence[str], method_col: str,
                     out: str = "methods", sep: str = ",") -> DataFrame:
-    """A4: type -> its method keys as one sorted, ``sep``-joined string.
-
-    Duplicates are kept.  Built with the chunked ordered concat, so a type
-    with millions of methods is sorted in parallel range chunks.
-    """
-    return ordered_concat(funcs.withColumn("_m", F.col(method_col).cast("string")),
-                          type_cols, [method_col], "_m", sep=sep, out=out)
+    """A4: type -> its method keys, sorted and ``sep``-joined, in numbered parts
+    (``part`` from 0), so that a type with millions of methods is no single cell.
+    Duplicates are kept."""
+    return ordered_parts(funcs.withColumn("_m", F.col(method_col).cast("string")),
+                         type_cols, [method_col], "_m", sep=sep, out=out)
 
 
 def name_multimap(decls: DataFrame, name: str, by: str) -> DataFrame:
@@ -160,7 +158,7 @@ def block_any(rows: DataFrame, block_cols: Sequence[str], flag: Column | str,
     """
     flag_col = F.col(flag) if isinstance(flag, str) else flag
     per_block = rows.groupBy(*block_cols).agg(F.bool_or(flag_col).alias(out))
-    return rows.join(per_block, list(block_cols))
+    return null_safe_join(rows, per_block, block_cols)
 
 
 def exists_by_name(left: DataFrame, right: DataFrame, on: Sequence[str],
@@ -202,15 +200,10 @@ def provider_index(decls: DataFrame, key: Sequence[str], kind: str,
     provider.  ``max_by`` over a struct, aggregated map-side."""
     rank = F.coalesce(*[F.when(F.col(kind) == k, F.lit(r)) for k, r in kind_rank.items()],
                       F.lit(-1))
-    # Highest rank first, then the smallest provider within that rank.
-    best_rank = decls.groupBy(*key).agg(F.max(rank).alias("_best"))
-    cand = (decls.withColumn("_rank", rank).join(best_rank, list(key))
-            .where(F.col("_rank") == F.col("_best")))
-    if provider is None:
-        return cand.groupBy(*key).agg(F.min(kind).alias(kind))
-    payload = F.struct(F.col(provider), F.col(kind))
-    return (cand.groupBy(*key).agg(F.min_by(payload, F.col(provider)).alias("_r"))
-            .select(*key, "_r.*"))
+    # Highest rank first, then the smallest provider (or kind) within that rank.
+    tie = F.col(provider or kind)
+    best = F.min_by(F.struct(*[F.col(c) for c in ([provider] if provider else []) + [kind]]), F.struct(-rank, tie))
+    return decls.groupBy(*key).agg(best.alias("_r")).select(*key, "_r.*")
 
 
 def type_method_edges(types: DataFrame, methods: DataFrame, group_cols: Sequence[str],
@@ -219,4 +212,4 @@ def type_method_edges(types: DataFrame, methods: DataFrame, group_cols: Sequence
     t = types.select(*group_cols, F.col(type_col).alias("src")).distinct()
     m = methods.select(*group_cols, F.col(recv_col).alias("src"), F.col(method_key).alias("dst"))
     return t.join(m, [*group_cols, "src"]).select(*group_cols, "src", "dst",
-                                                  F.lit("method").alias("rule")).distinct()
+                                                  F.lit("method").alias("rule"))

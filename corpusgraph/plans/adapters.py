@@ -6,52 +6,23 @@ join, dedup and assembly work happens in the operators.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-ENGLISH = ("en",)
-ALL_LANGS = None
-
-# Fixed values of the DOC adapter: a mention must be at least this long.
-MIN_MENTION_LENGTH = 4
-
-
-# Tables whose rows carry whole texts: per-row CPU (regex, splitting) dominates.
-TEXT_TABLES = frozenset({"documents", "pages", "conversations", "benchmark"})
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table.  Text tables are fanned out over the cluster's
-    cores when the scan yields fewer splits than that (a single large row
-    group is one task); with many files / row groups this is a no-op."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        df = fan_out(df)
-    return df
-
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-def fan_out(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the default parallelism, only if the input
-    has fewer partitions than cores (checked on the plan, no job)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
 
-
-def doc_units(documents: DataFrame, langs: Sequence[str] | None = ENGLISH) -> DataFrame:
+def doc_units(documents: DataFrame, min_mention: int = 1) -> DataFrame:
     """One row per line with at least two words.
 
     corpus_id=source, path=doc_id, ln (1-based), name=first word,
-    mentions=later words of length >= 4 that differ from the name.
+    mentions=later words that differ from the name (of at least
+    ``min_mention`` letters; the default keeps all).
     """
     d = documents.select("doc_id", "source", "lang", "text")
-    if langs is not None:
-        d = d.where(F.col("lang").isin(list(langs)))
     # Words are computed inside the generator so that later filters refer to
     # the generated column instead of re-running the regex.
     per_line = F.transform(S.lines("text"), lambda ln: F.struct(ln.alias("line"),
@@ -65,7 +36,7 @@ def doc_units(documents: DataFrame, langs: Sequence[str] | None = ENGLISH) -> Da
         "corpus_id", "doc_id", "lang", (F.col("pos") + 1).cast("bigint").alias("ln"), "line",
         "words", name.alias("name"),
         F.filter(F.slice("words", 2, F.size("words")),
-                 lambda w: (F.length(w) >= MIN_MENTION_LENGTH) & (w != name)).alias("mentions"))
+                 lambda w: (F.length(w) >= min_mention) & (w != name)).alias("mentions"))
 
 
 def doc_mentions(units: DataFrame) -> DataFrame:
@@ -94,14 +65,15 @@ def page_refs(nodes: DataFrame) -> DataFrame:
     return nodes.select("page_id", "host", F.explode("refs").alias("ref"))
 
 
-def page_edges(nodes: DataFrame) -> DataFrame:
-    """Edge page -> page when a link word equals the other page's title word."""
-    refs = page_refs(nodes).select(F.col("page_id").alias("src"), "ref").distinct()
-    named = nodes.where(F.col("name") != "").select(F.col("page_id").alias("dst"),
-                                                    F.col("name").alias("ref"))
-    return (refs.join(named, "ref")
-            .where(F.col("src") != F.col("dst"))
-            .select("src", "dst").distinct())
+def page_links(nodes: DataFrame, owner: str = "page_id") -> DataFrame:
+    """The graph owner -> link word -> owner of a page with that title, with the
+    words as nodes of their own (``w:``, owners ``o:``): two hops per link, and as
+    many edges as there are links and titles, however often a word is a title."""
+    own = F.concat(F.lit("o:"), F.col(owner).cast("string"))
+    out = nodes.select(own.alias("src"), F.explode("refs").alias("ref")).select(
+        "src", F.concat(F.lit("w:"), "ref").alias("dst"))
+    back = nodes.where(F.col("name") != "").select(F.concat(F.lit("w:"), "name").alias("src"), own.alias("dst"))
+    return out.unionByName(back).distinct()
 
 
 # Fixed value: identifiers of the code view are words behind this prefix, so
@@ -109,7 +81,7 @@ def page_edges(nodes: DataFrame) -> DataFrame:
 CODE_IDENT_PREFIX = "w_"
 
 
-def doc_programs(documents: DataFrame, langs: Sequence[str] | None = ENGLISH):
+def doc_programs(documents: DataFrame):
     """CODE view of DOC: every source becomes one Go program (module
     ``docs/<source>``, root package ``''``).  Each document is a file in which
     every unit is ``func w_<name>() { w_<mention>() ... }``; a ``main.go`` per
@@ -119,21 +91,19 @@ def doc_programs(documents: DataFrame, langs: Sequence[str] | None = ENGLISH):
     text formatting happens here; lexing, declarations, the mention graph and
     pruning are the code bundle's job.
     """
-    d = documents.select("doc_id", "source", "lang", "text")
-    if langs is not None:
-        d = d.where(F.col("lang").isin(list(langs)))
+    d = documents.select("doc_id", "source", "text")
     p = F.lit(CODE_IDENT_PREFIX)
     per_line = F.filter(F.transform(S.lines("text"), lambda ln: S.words(ln)), lambda w: F.size(w) >= 2)
     funcs = F.transform(per_line, lambda w: F.concat(
         F.lit("func "), p, w[0], F.lit("() {\n"),
         F.array_join(F.transform(
-            F.filter(F.slice(w, 2, F.size(w)), lambda m: (F.length(m) >= MIN_MENTION_LENGTH) & (m != w[0])),
+            F.filter(F.slice(w, 2, F.size(w)), lambda m: m != w[0]),
             lambda m: F.concat(F.lit("\t"), p, m, F.lit("()\n"))), ""),
         F.lit("}\n")))
     files = d.select(F.col("source").alias("corpus_id"),
                      F.concat(F.col("doc_id").cast("string"), F.lit(".go")).alias("path"),
                      F.concat(F.lit("package main\n\n"), F.array_join(funcs, "\n")).alias("src"))
-    first = (doc_units(documents, langs).groupBy("corpus_id")
+    first = (doc_units(documents).groupBy("corpus_id")
              .agg(F.min_by("name", F.struct("doc_id", "ln")).alias("first")))
     mains = first.select("corpus_id", F.lit("main.go").alias("path"),
                          F.concat(F.lit("package main\n\nfunc main() {\n\t"), p, F.col("first"),

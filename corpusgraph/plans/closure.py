@@ -11,7 +11,6 @@ current round.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,74 +18,52 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, materialize
 
 
+#: Rounds after which the tables of seen nodes become one again.
+COMPACT_EVERY = 8
+
+
 class RoundLimitExceeded(RuntimeError):
     """Raised when ``max_rounds`` is reached before the closure converged."""
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, group_cols: Sequence[str] = ("corpus_id",),
               node: str = "key", src: str = "src", dst: str = "dst",
-              max_rounds: int | None = None, steps_per_job: int = 2) -> DataFrame:
+              max_rounds: int | None = None) -> DataFrame:
     """Nodes reachable from ``seeds`` over ``edges``, with the smallest hop.
 
     seeds: ``group_cols + [node]``; edges: ``group_cols + [src, dst]``.
     Returns ``group_cols + [node, hop]`` (hop 0 for seeds), one row per
     reached node.  Rounds = the largest eccentricity over all corpora, not
-    their sum.  ``max_rounds`` raises instead of truncating the result.
+    their sum.  Each round is one job that writes its new nodes; the nodes seen
+    so far are compacted to one table every ``COMPACT_EVERY`` rounds.
 
-    ``steps_per_job`` breadth-first steps are planned into one job and written
-    together (each step still anti-joins everything seen before it, so hops
-    stay exact); this divides the number of jobs and written tables.
+    ``max_rounds`` raises when a further round would find new nodes; a closure
+    whose last new node is in round ``max_rounds`` has converged.
     """
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(seeds.sparkSession)
     g = list(group_cols)
     e = (edges.select(*g, F.col(src).alias("_s"), F.col(dst).alias(node))
          .where(F.col("_s").isNotNull() & F.col(node).isNotNull())
          .distinct())
     e = materialize(e, "edges")
     frontier = materialize(seeds.select(*g, node).where(F.col(node).isNotNull()).distinct(), "seeds")
-    pieces = [frontier.withColumn("hop", F.lit(0).cast("bigint"))]
-    seen = frontier
+    seen = frontier.withColumn("hop", F.lit(0).cast("bigint"))
     rnd = 0
     while True:
-        outs, f, s = [], frontier, seen
-        for _ in range(max(1, steps_per_job)):
-            rnd += 1
-            if max_rounds is not None and rnd > max_rounds:
-                raise RoundLimitExceeded(f"closure did not converge within {max_rounds} rounds")
-            step = (f.withColumnRenamed(node, "_s")
-                    .join(e, [*g, "_s"])
-                    .select(*g, node)
-                    .distinct()
-                    .join(s, [*g, node], "left_anti"))
-            outs.append(step.withColumn("hop", F.lit(rnd).cast("bigint")))
-            s = s.unionByName(step)
-            f = step
-        batch = reduce(DataFrame.unionByName, outs)
-        batch, n_new, n_last = _write_with_counts(batch, f"round{rnd}", rnd)
+        rnd += 1
+        step = (frontier.withColumnRenamed(node, "_s")
+                .join(e, [*g, "_s"])
+                .select(*g, node)
+                .distinct()
+                .join(seen, [*g, node], "left_anti"))
+        frontier, n_new = materialize(step, f"round{rnd}", with_count=True)
         if n_new == 0:
-            break
-        pieces.append(batch)
-        seen = seen.unionByName(batch.select(*g, node))
-        if n_last == 0:
-            break
-        frontier = batch.where(F.col("hop") == rnd).select(*g, node)
-    return reduce(DataFrame.unionByName, pieces)
-
-
-def _write_with_counts(batch: DataFrame, tag: str, last_hop: int):
-    """Materialize a batch of rounds; count all rows and the last round's rows
-    with one ``Observation`` on the write (no extra job)."""
-    from pyspark.sql import Observation
-    import uuid
-    spark = batch.sparkSession
-    obs = Observation(f"reach_{uuid.uuid4().hex[:8]}")
-    observed = batch.observe(obs, F.count(F.lit(1)).alias("n"),
-                             F.count_if(F.col("hop") == last_hop).alias("last"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpusgraph-tables/{tag}-{uuid.uuid4().hex}"
-    observed.write.mode("error").parquet(path)
-    m = obs.get
-    return spark.read.schema(batch.schema).parquet(path), int(m["n"]), int(m["last"])
+            return seen
+        if max_rounds is not None and rnd > max_rounds:
+            raise RoundLimitExceeded(f"closure did not converge within {max_rounds} rounds")
+        seen = seen.unionByName(frontier.withColumn("hop", F.lit(rnd).cast("bigint")))
+        if rnd % COMPACT_EVERY == 0:
+            seen = materialize(seen, "seen")
 
 
 def prune(units: DataFrame, reach: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -96,11 +73,11 @@ def prune(units: DataFrame, reach: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def missing_symbols(mentions: DataFrame, declared: DataFrame, offered: DataFrame,
-                    on: Sequence[str]) -> DataFrame:
+                    on: Sequence[str], offered_on: Sequence[str] | None = None) -> DataFrame:
     """Mentioned, not declared locally, but offered by some provider."""
     m = mentions.select(*on).distinct()
     return (m.join(declared.select(*on).distinct(), list(on), "left_anti")
-            .join(offered.select(*on).distinct(), list(on), "left_semi"))
+            .join(offered.select(*(offered_on or on)).distinct(), list(offered_on or on), "left_semi"))
 
 
 def min_seed(edges: DataFrame, group_cols: Sequence[str], src: str = "src",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.ordering import bounded_broadcast, group_ordinal
+from ..functions.ordering import group_ordinal
 from ..session import materialize
 from ..operators import assemble, links, rename, symbols
 from ..sources import files as sources
@@ -16,27 +16,30 @@ from . import closure as C
 from . import sql as Q
 from .registry import register
 
-# Fixed values for the single-corpus queries: the "root package" and the
-# "imported package" of the DOC view, and the qualifier word used as alias.
+# The corpus whose names seed C4, and the qualifier word used as alias.
 ROOT_CORPUS = "src0"
-OTHER_CORPUS = "src1"
 QUALIFIER = "the"
 # Language ranks of the provider index (higher overrides lower), mirroring the
 # reference's kind order var < type < func < const.
 LANG_RANK = {"de": 0, "en": 1, "es": 2, "fr": 3}
-# Rename map budget proven before broadcasting (rows); larger maps shuffle.
-BROADCAST_ROWS = 2_000_000
 
 
-def _units(spark: SparkSession, sf_dir: str, langs=A.ENGLISH) -> DataFrame:
-    return A.doc_units(A.table(spark, sf_dir, "documents"), langs)
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.doc_units(A.table(spark, sf_dir, "documents"))
 
 
-def _units_once(spark: SparkSession, sf_dir: str, langs=A.ENGLISH) -> DataFrame:
-    """DOC units written once to the checkpoint storage, for queries that read
-    them several times (edges, seeds, pruning): the text is split and
-    regex-scanned a single time."""
-    return materialize(_units(spark, sf_dir, langs), "doc_units")
+def _narrow_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and mentions of all units, written once to the checkpoint storage:
+    the text is split and scanned a single time and not written again."""
+    return materialize(_units(spark, sf_dir).select("corpus_id", "doc_id", "ln", "name", "mentions"), "doc_names")
+
+
+def _next_corpus(names: DataFrame) -> DataFrame:
+    """``corpus_id, next_id``: each corpus and the one after it by name (the last
+    has none), so that pairs of corpora stay linear in their number."""
+    ranked = group_ordinal(names.select("corpus_id").distinct(), [], ["corpus_id"])
+    return ranked.select("corpus_id", "ord").join(
+        ranked.select(F.col("corpus_id").alias("next_id"), (F.col("ord") - 1).alias("ord")), "ord").drop("ord")
 
 
 def _edges(units: DataFrame) -> DataFrame:
@@ -62,14 +65,14 @@ _REACH_SQL = _PRE + """seeds AS (SELECT corpus_id, min(src) AS key FROM doc_edge
 @register("c1_reachable_words", _REACH_SQL + "SELECT corpus_id, key AS name, hop FROM reach")
 def c1_reachable_words(spark, sf_dir):
     """Names reachable per source from its smallest edge source, with min hop."""
-    return _reach_from_min(_units_once(spark, sf_dir))
+    return _reach_from_min(_narrow_once(spark, sf_dir))
 
 
 @register("u2_prune", _REACH_SQL + """
 SELECT u.corpus_id, u.doc_id, u.ln, u.name FROM doc_units u
 WHERE EXISTS (SELECT 1 FROM reach r WHERE r.corpus_id = u.corpus_id AND r.key = u.name)""")
 def u2_prune(spark, sf_dir):
-    units = _units_once(spark, sf_dir)
+    units = _narrow_once(spark, sf_dir)
     kept = C.prune(units, _reach_from_min(units), ["corpus_id", "name"])
     return kept.select("corpus_id", "doc_id", "ln", "name")
 
@@ -77,18 +80,18 @@ def u2_prune(spark, sf_dir):
 _BUNDLE_SQL = _REACH_SQL + """, kept AS (
   SELECT u.* FROM doc_units u
   WHERE EXISTS (SELECT 1 FROM reach r WHERE r.corpus_id = u.corpus_id AND r.key = u.name))
-SELECT corpus_id, CAST(count(*) AS BIGINT) AS n_parts,
-       CAST(strlen(string_agg(line, chr(10) ORDER BY doc_id, ln)) AS BIGINT) AS n_bytes,
-       string_agg(line, chr(10) ORDER BY doc_id, ln) AS text
-FROM kept GROUP BY corpus_id"""
+SELECT corpus_id, (ord - 1) // 1000 AS part, CAST(count(*) AS BIGINT) AS n_parts,
+       CAST(strlen(string_agg(line, chr(10) ORDER BY ord)) AS BIGINT) AS n_bytes,
+       string_agg(line, chr(10) ORDER BY ord) AS text
+FROM (SELECT corpus_id, line, row_number() OVER (PARTITION BY corpus_id ORDER BY doc_id, ln) AS ord FROM kept)
+GROUP BY corpus_id, (ord - 1) // 1000"""
 
 
 def bundle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C5 on DOC: closure from each source's root -> prune -> order -> text."""
-    units = _units_once(spark, sf_dir)
-    kept = C.prune(units, _reach_from_min(units), ["corpus_id", "name"])
-    return assemble.assemble_text(kept, ["corpus_id"], ["doc_id", "ln"], text_col="line").select(
-        "corpus_id", "n_parts", "n_bytes", "text")
+    """C5 on DOC: closure from each source's root -> prune -> order -> text parts."""
+    kept = C.prune(_units(spark, sf_dir).select("corpus_id", "doc_id", "ln", "name", "line"),
+                   _reach_from_min(_narrow_once(spark, sf_dir)), ["corpus_id", "name"])
+    return assemble.assemble_text(kept, ["corpus_id"], ["doc_id", "ln"], text_col="line")
 
 
 register("c5_bundle_documents", _BUNDLE_SQL)(bundle_documents)
@@ -159,9 +162,10 @@ SELECT u.corpus_id, u.doc_id, u.ln, g.kept FROM units_n u JOIN g ON g.corpus_id
 def a2_greedy(spark, sf_dir):
     """Greedy const policy: a unit (names = its first two words) is kept only
     if no earlier kept unit of the source registered one of its names."""
-    units = _units_once(spark, sf_dir).select(
+    units = _units(spark, sf_dir).select(
         "corpus_id", "doc_id", "ln", F.array_distinct(F.slice("words", 1, 2)).alias("names"),
         F.struct("doc_id", "ln").alias("_ord"))
+    units = materialize(units, "greedy_units")
     out = symbols.keep_first_greedy(units, ["corpus_id"], "_ord", "_ord", "names")
     return out.select("corpus_id", "doc_id", "ln", "kept")
 
@@ -173,59 +177,67 @@ def a5_name_multimap(spark, sf_dir):
     return symbols.name_multimap(_units(spark, sf_dir), "name", "corpus_id")
 
 
-@register("a7_exists_by_name", _PRE + f"""x AS (SELECT 1)
-SELECT a.name, EXISTS (SELECT 1 FROM doc_names b WHERE b.corpus_id = '{OTHER_CORPUS}' AND b.name = a.name) AS in_other
-FROM doc_names a WHERE a.corpus_id = '{ROOT_CORPUS}'""")
+_NEXT_SQL = """next AS (SELECT corpus_id, lead(corpus_id) OVER (ORDER BY corpus_id) AS next_id
+  FROM (SELECT DISTINCT corpus_id FROM doc_names))
+"""
+
+
+@register("a7_exists_by_name", _PRE + _NEXT_SQL + """
+SELECT a.corpus_id, a.name,
+       EXISTS (SELECT 1 FROM doc_names b WHERE b.corpus_id = next_id AND b.name = a.name) AS in_next
+FROM doc_names a JOIN next USING (corpus_id) WHERE next_id IS NOT NULL""")
 def a7_exists_by_name(spark, sf_dir):
-    names = A.doc_names(_units(spark, sf_dir))
-    root = names.where(F.col("corpus_id") == ROOT_CORPUS).select("name")
-    other = names.where(F.col("corpus_id") == OTHER_CORPUS).select("name")
-    return symbols.exists_by_name(root, other, ["name"], out="in_other")
+    """For every name of every source: does the next source declare it too."""
+    names = materialize(A.doc_names(_units(spark, sf_dir)), "names")
+    pairs = _next_corpus(names)
+    left = names.join(pairs, "corpus_id").select("corpus_id", "next_id", "name")
+    out = symbols.exists_by_name(left, names.withColumnRenamed("corpus_id", "next_id"), ["next_id", "name"], out="in_next")
+    return out.select("corpus_id", "name", "in_next")
 
 
 # ------------------------------------------------------------------ J5 / J6 / J7
 
-@register("j5_merge_if_absent", _PRE + f"""x AS (SELECT 1)
-SELECT name, corpus_id FROM doc_names WHERE corpus_id = '{ROOT_CORPUS}'
+@register("j5_merge_if_absent", _PRE + _NEXT_SQL + """
+SELECT n.corpus_id AS root, a.name, a.corpus_id AS origin
+FROM next n JOIN doc_names a ON a.corpus_id = n.corpus_id WHERE next_id IS NOT NULL
 UNION ALL
-SELECT name, corpus_id FROM doc_names b WHERE corpus_id = '{OTHER_CORPUS}'
-  AND NOT EXISTS (SELECT 1 FROM doc_names a WHERE a.corpus_id = '{ROOT_CORPUS}' AND a.name = b.name)""")
+SELECT n.corpus_id, b.name, b.corpus_id FROM next n JOIN doc_names b ON b.corpus_id = n.next_id
+WHERE NOT EXISTS (SELECT 1 FROM doc_names a WHERE a.corpus_id = n.corpus_id AND a.name = b.name)""")
 def j5_merge_if_absent(spark, sf_dir):
-    names = A.doc_names(_units(spark, sf_dir))
-    base = names.where(F.col("corpus_id") == ROOT_CORPUS).select("name", "corpus_id")
-    extra = names.where(F.col("corpus_id") == OTHER_CORPUS).select("name", "corpus_id")
-    return symbols.merge_if_absent(base, extra, ["name"])
-
-
-@register("j6_missing_symbols", _PRE + f"""x AS (SELECT 1)
-SELECT m.dst AS name, CAST(count(DISTINCT p.corpus_id) AS BIGINT) AS n_providers
-FROM (SELECT DISTINCT dst FROM doc_mentions WHERE corpus_id = '{ROOT_CORPUS}') m
-JOIN doc_names p ON p.name = m.dst AND p.corpus_id <> '{ROOT_CORPUS}'
-WHERE NOT EXISTS (SELECT 1 FROM doc_names d WHERE d.corpus_id = '{ROOT_CORPUS}' AND d.name = m.dst)
-GROUP BY m.dst""")
+    """Every source's names, and those of the next source that it lacks."""
+    names = materialize(A.doc_names(_units(spark, sf_dir)), "names")
+    pairs = _next_corpus(names)
+    base = names.join(pairs, "corpus_id").select(F.col("corpus_id").alias("root"), "name", F.col("corpus_id").alias("origin"))
+    extra = (names.withColumnRenamed("corpus_id", "next_id").join(pairs, "next_id")
+             .select(F.col("corpus_id").alias("root"), "name", F.col("next_id").alias("origin")))
+    return symbols.merge_if_absent(base, extra, ["root", "name"])
+
+
+@register("j6_missing_symbols", _PRE + """offers AS (SELECT name, count(*) AS n FROM doc_names GROUP BY name)
+SELECT m.corpus_id, m.dst AS name, CAST(o.n AS BIGINT) AS n_providers
+FROM (SELECT DISTINCT corpus_id, dst FROM doc_mentions) m JOIN offers o ON o.name = m.dst
+WHERE NOT EXISTS (SELECT 1 FROM doc_names d WHERE d.corpus_id = m.corpus_id AND d.name = m.dst)""")
 def j6_missing_symbols(spark, sf_dir):
-    """Mentioned in the root source, not declared there, offered elsewhere."""
-    units = _units(spark, sf_dir)
-    names = A.doc_names(units)
-    mentioned = (A.doc_mentions(units).where(F.col("corpus_id") == ROOT_CORPUS)
-                 .select(F.col("dst").alias("name")))
-    declared = names.where(F.col("corpus_id") == ROOT_CORPUS).select("name")
-    offered = names.where(F.col("corpus_id") != ROOT_CORPUS)
-    missing = C.missing_symbols(mentioned, declared, offered, ["name"])
-    return (missing.join(offered, "name").groupBy("name")
-            .agg(F.countDistinct("corpus_id").cast("bigint").alias("n_providers")))
+    """Per source: mentioned, not declared there, offered by other sources."""
+    units = _narrow_once(spark, sf_dir)
+    names = materialize(A.doc_names(units), "names")
+    mentioned = A.doc_mentions(units).select("corpus_id", F.col("dst").alias("name"))
+    offered = names.groupBy("name").agg(F.count(F.lit(1)).alias("n_providers"))
+    missing = C.missing_symbols(mentioned, names, offered, ["corpus_id", "name"], ["name"])
+    return missing.join(offered, "name").select("corpus_id", "name", "n_providers")
 
 
 _RANK_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANG_RANK.items())
 
 
-@register("j7_provider_index", "WITH " + Q.doc_units(None) + f"""
-SELECT corpus_id, name, arg_max(lang, CASE lang {_RANK_SQL} ELSE -1 END) AS lang
-FROM doc_units GROUP BY corpus_id, name""")
+@register("j7_provider_index", "WITH " + Q.doc_units() + f""", r AS (
+  SELECT corpus_id, name, doc_id, lang, row_number() OVER (PARTITION BY corpus_id, name
+    ORDER BY CASE lang {_RANK_SQL} ELSE -1 END DESC, doc_id) AS rn FROM doc_units)
+SELECT corpus_id, name, doc_id, lang FROM r WHERE rn = 1""")
 def j7_provider_index(spark, sf_dir):
-    """(source, name) -> language of highest rank, over all languages."""
-    units = _units(spark, sf_dir, A.ALL_LANGS).select("corpus_id", "name", "lang")
-    return symbols.provider_index(units, ["corpus_id", "name"], "lang", LANG_RANK)
+    """(source, name) -> first document of the language of highest rank, and that language."""
+    units = _units(spark, sf_dir).select("corpus_id", "name", "doc_id", "lang")
+    return symbols.provider_index(units, ["corpus_id", "name"], "lang", LANG_RANK, provider="doc_id")
 
 
 # ------------------------------------------------------------------ C2 / C4
@@ -236,15 +248,15 @@ def j7_provider_index(spark, sf_dir):
   WHERE words[i] = '{QUALIFIER}'
 ), seeds AS (
   SELECT DISTINCT p.corpus_id, p.name AS key FROM pairs p
-  JOIN doc_names n ON n.corpus_id = p.corpus_id AND n.name = p.name WHERE length(p.name) >= 6
+  JOIN doc_names n ON n.corpus_id = p.corpus_id AND n.name = p.name
 ), """ + Q.bfs("reach", "seeds", "doc_edges") + """
 SELECT corpus_id, key AS name, hop FROM reach""")
 def c2_package_closure(spark, sf_dir):
     """Seeds = declared names used right after the qualifier word (P10);
     closure over the mention edges."""
-    units = _units_once(spark, sf_dir)
-    pairs = links.qualified_pairs(units, "words", ["corpus_id"], qualifier_value=QUALIFIER)
-    seeds = (pairs.where(F.length("name") >= 6).select("corpus_id", "name")
+    units = _narrow_once(spark, sf_dir)
+    pairs = links.qualified_pairs(_units(spark, sf_dir), "words", ["corpus_id"], qualifier_value=QUALIFIER)
+    seeds = (pairs.select("corpus_id", "name").distinct()
              .join(A.doc_names(units), ["corpus_id", "name"], "left_semi"))
     return C.reachable(seeds, _edges(units), ["corpus_id"], node="name")
 
@@ -257,7 +269,7 @@ SELECT key AS name, hop FROM reach""")
 def c4_complete_missing(spark, sf_dir):
     """Start from everything the root source declares and keep adding what is
     mentioned and declared by any source, to a fixed point."""
-    units = _units_once(spark, sf_dir)
+    units = _narrow_once(spark, sf_dir)
     names = units.select("name").distinct()
     edges = symbols.known_refs(A.doc_mentions(units).select("src", "dst"),
                                names.withColumnRenamed("name", "dst"), ["dst"])
@@ -267,47 +279,47 @@ def c4_complete_missing(spark, sf_dir):
 
 # ------------------------------------------------------------------ W1 / R5 / O1
 
-_W1_SQL = "WITH " + Q.doc_units(None) + f""", w AS (
+_W1_SQL = "WITH " + Q.doc_units() + f""", w AS (
   SELECT corpus_id, name, CAST(row_number() OVER (PARTITION BY corpus_id ORDER BY name) AS BIGINT) AS ord
   FROM doc_names)
-SELECT corpus_id, name, ord, {S.ordinal_prefix_sql('ord')} AS prefix FROM w"""
+SELECT corpus_id, name, ord, {Q.ordinal_prefix('ord')} AS prefix FROM w"""
 
 
 @register("w1_assign_prefixes", _W1_SQL)
 def w1_assign_prefixes(spark, sf_dir):
     """Distinct names of each source (all languages) in order -> a, b, ..., z, aa, ..."""
-    units = _units(spark, sf_dir, A.ALL_LANGS)
+    units = _units(spark, sf_dir)
     return links.assign_prefixes(units, ["corpus_id"], "name")
 
 
-@register("r5_prefix_roundtrip", "WITH " + Q.doc_units(None) + f""", w AS (
+@register("r5_prefix_roundtrip", "WITH " + Q.doc_units() + f""", w AS (
   SELECT corpus_id, name, CAST(row_number() OVER (PARTITION BY corpus_id ORDER BY name) AS BIGINT) AS ord
-  FROM doc_names), p AS (SELECT corpus_id, name, {S.ordinal_prefix_sql('ord')} AS prefix FROM w)
+  FROM doc_names), p AS (SELECT corpus_id, name, {Q.ordinal_prefix('ord')} AS prefix FROM w)
 SELECT corpus_id, name, prefix || name AS new_name,
        substr(prefix || name, length(prefix) + 1) AS orig_name,
        substr(prefix || name, length(prefix) + 1) = name AS same
 FROM p""")
 def r5_prefix_roundtrip(spark, sf_dir):
-    prefixes = links.assign_prefixes(_units(spark, sf_dir, A.ALL_LANGS), ["corpus_id"], "name")
+    prefixes = links.assign_prefixes(_units(spark, sf_dir), ["corpus_id"], "name")
     renamed = rename.rename_map(prefixes, ["corpus_id"], "name", "prefix")
     return rename.original_names(renamed, "new_name", "prefix").select(
         "corpus_id", "name", "new_name", "orig_name", (F.col("orig_name") == F.col("name")).alias("same"))
 
 
-@register("o1_bundle_order", _PRE + f"""u AS (SELECT doc_id, ln, CAST(doc_id AS VARCHAR) || ':' || CAST(ln AS VARCHAR) AS key
-  FROM doc_units WHERE corpus_id = '{ROOT_CORPUS}')
-SELECT doc_id, ln, key,
-  CAST(row_number() OVER (ORDER BY doc_id, ln) AS BIGINT) AS ord_natural,
-  CAST(row_number() OVER (ORDER BY key) AS BIGINT) AS ord_lex FROM u""")
+@register("o1_bundle_order", _PRE + """u AS (
+  SELECT corpus_id, doc_id, ln, CAST(doc_id AS VARCHAR) || ':' || CAST(ln AS VARCHAR) AS key FROM doc_units)
+SELECT corpus_id, doc_id, ln, key,
+  CAST(row_number() OVER (PARTITION BY corpus_id ORDER BY doc_id, ln) AS BIGINT) AS ord_natural,
+  CAST(row_number() OVER (PARTITION BY corpus_id ORDER BY key) AS BIGINT) AS ord_lex FROM u""")
 def o1_bundle_order(spark, sf_dir):
-    """Both bundle orders of the root source's units: natural (doc, line) and
+    """Both bundle orders of every source's units: natural (doc, line) and
     the reference's string order of ``doc:line`` (where 10 sorts before 2)."""
-    units = (_units(spark, sf_dir).where(F.col("corpus_id") == ROOT_CORPUS)
+    units = (_units(spark, sf_dir)
              .select("corpus_id", "doc_id", "ln",
                      F.concat_ws(":", F.col("doc_id").cast("string"), F.col("ln").cast("string")).alias("key")))
     nat = assemble.bundle_order(units, ["corpus_id"], ["doc_id", "ln"], out="ord_natural")
     both = assemble.bundle_order(nat, ["corpus_id"], ["key"], out="ord_lex")
-    return both.select("doc_id", "ln", "key", "ord_natural", "ord_lex")
+    return both.select("corpus_id", "doc_id", "ln", "key", "ord_natural", "ord_lex")
 
 
 # ------------------------------------------------------------------ P1 / P4 / P10 / R2 / R3
@@ -325,10 +337,10 @@ def p1_tokens(spark, sf_dir):
             .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
-@register("p4_split_units", "WITH " + Q.doc_units(None) + """
+@register("p4_split_units", "WITH " + Q.doc_units() + """
 SELECT corpus_id, doc_id, ln, name, CAST(len(words) AS BIGINT) AS n_words FROM doc_units""")
 def p4_split_units(spark, sf_dir):
-    units = _units(spark, sf_dir, A.ALL_LANGS)
+    units = _units(spark, sf_dir)
     return units.select("corpus_id", "doc_id", "ln", "name",
                         F.size("words").cast("bigint").alias("n_words"))
 
@@ -344,27 +356,27 @@ def p10_qualified_refs(spark, sf_dir):
     return pairs.groupBy("corpus_id", "name").agg(F.count(F.lit(1)).cast("bigint").alias("n_uses"))
 
 
-@register("r2_rename_tokens", _PRE + f"""ren AS (SELECT DISTINCT name AS old_name, 'x' || name AS new_name
-  FROM doc_units WHERE corpus_id = '{ROOT_CORPUS}'),
-toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS tok
-  FROM documents WHERE lang = 'en')
-SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_words, CAST(count(r.new_name) AS BIGINT) AS n_changed,
-       CAST(sum(length(coalesce(r.new_name, t.tok))) AS BIGINT) AS new_chars
-FROM toks t LEFT JOIN ren r ON r.old_name = t.tok GROUP BY t.doc_id""")
+@register("r2_rename_tokens", _PRE + """toks AS (
+  SELECT doc_id, source AS corpus_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS tok FROM documents)
+SELECT t.doc_id, CAST(count(*) AS BIGINT) AS n_words, CAST(count(r.name) AS BIGINT) AS n_changed,
+       CAST(sum(length(t.tok) + CASE WHEN r.name IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS new_chars
+FROM toks t LEFT JOIN doc_names r ON r.corpus_id = t.corpus_id AND r.name = t.tok GROUP BY t.doc_id""")
 def r2_rename_tokens(spark, sf_dir):
-    """Rename every word declared by the root source to ``x`` + word in all
-    English documents; per document: words, words changed, new length."""
-    docs = A.table(spark, sf_dir, "documents").where(F.col("lang") == "en")
-    units = _units(spark, sf_dir)
-    renames = (units.where(F.col("corpus_id") == ROOT_CORPUS).select(F.col("name").alias("old_name"))
-               .distinct().withColumn("new_name", F.concat(F.lit("x"), F.col("old_name"))))
+    """Rename every word that its own source declares to ``x`` + word; per
+    document: words, words changed, new length."""
+    docs = A.table(spark, sf_dir, "documents").withColumnRenamed("source", "corpus_id")
+    renames = (A.doc_names(_units(spark, sf_dir)).withColumnRenamed("name", "old_name")
+               .withColumn("new_name", F.concat(F.lit("x"), F.col("old_name"))))
     from ..operators import lex
-    toks = lex.word_tokens(docs, ["doc_id"], "text")
-    out = rename.rename_tokens(toks, bounded_broadcast(renames, BROADCAST_ROWS), [], "word")
+    # A document's equal words are looked up once: the join moves distinct words
+    # with their counts, so a frequent word is no hot key.
+    toks = (lex.word_tokens(docs, ["doc_id", "corpus_id"], "text").groupBy("doc_id", "corpus_id", "word")
+            .agg(F.count(F.lit(1)).alias("n")))
+    out = rename.rename_tokens(toks, renames, ["corpus_id"], "word")
     return out.groupBy("doc_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_words"),
-        F.count_if(F.col("renamed")).cast("bigint").alias("n_changed"),
-        F.sum(F.length("word")).cast("bigint").alias("new_chars"))
+        F.sum("n").cast("bigint").alias("n_words"),
+        F.sum(F.when(F.col("renamed"), F.col("n")).otherwise(0)).cast("bigint").alias("n_changed"),
+        F.sum(F.length("word") * F.col("n")).cast("bigint").alias("new_chars"))
 
 
 @register("r3_rewrite_qualified", _PRE + f"""x AS (SELECT 1)
@@ -404,8 +416,8 @@ def s2_exclude_outputs(spark, sf_dir):
   FROM doc_units WHERE starts_with(trim(line), 'The '))
 SELECT doc_id, ln, value FROM c WHERE rn = 1""")
 def s4_first_directive(spark, sf_dir):
-    """First unit line of each English document that starts with ``The ``."""
-    docs = A.table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    """First unit line of each document that starts with ``The ``."""
+    docs = A.table(spark, sf_dir, "documents")
     return sources.first_directive(docs, "text", "The ", ["doc_id"], min_words=2).select(
         "doc_id", "ln", "value")
 
@@ -438,17 +450,28 @@ def s7_bundle_report(spark, sf_dir):
     SELECT corpus_id, name, row_number() OVER (PARTITION BY corpus_id ORDER BY doc_id, ln) AS rn
     FROM doc_units) WHERE rn = 1),
 """ + Q.bfs("reach", "first", "doc_edges") + """,
-kept AS (SELECT corpus_id, count(*) AS n FROM doc_units u
+kept AS (
+  SELECT corpus_id, CAST(doc_id AS VARCHAR) || '.go' AS path, ln,
+         'func w_' || name || '() {' || chr(10) || array_to_string([chr(9) || 'w_' || w || '()' || chr(10) FOR w IN mentions], '')
+         || '}' AS part FROM doc_units u
   WHERE EXISTS (SELECT 1 FROM reach r WHERE r.corpus_id = u.corpus_id AND r.key = u.name)
-  GROUP BY corpus_id)
-SELECT c.corpus_id, CAST(1 + coalesce(k.n, 0) AS BIGINT) AS n_specs, 'ok' AS status
-FROM (SELECT DISTINCT corpus_id FROM doc_units) c LEFT JOIN kept k USING (corpus_id)""")
+), pieces AS (
+  SELECT corpus_id, 0 AS sec, path, ln, part FROM kept
+  UNION ALL SELECT DISTINCT corpus_id, -1, '', 0, 'package main' FROM doc_units
+  UNION ALL SELECT corpus_id, 1, 'main.go', 0, 'func main() {' || chr(10) || chr(9) || 'w_' || key || '()' || chr(10) || '}' FROM first
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY sec, path, ln) AS ord,
+         count(*) OVER (PARTITION BY corpus_id) - 1 AS n_specs FROM pieces)
+SELECT corpus_id, (ord - 1) // 1000 AS part, CAST(count(*) AS BIGINT) AS n_parts,
+       CAST(strlen(string_agg(part, chr(10) || chr(10) ORDER BY ord)) AS BIGINT) AS n_bytes,
+       string_agg(part, chr(10) || chr(10) ORDER BY ord) AS text, CAST(min(n_specs) AS BIGINT) AS n_specs, 'ok' AS status
+FROM ranked GROUP BY corpus_id, (ord - 1) // 1000""")
 def c5_bundle_code(spark, sf_dir):
     """The full code bundle (lex -> specs -> policies -> mention graph ->
-    closure from main -> prune -> rename -> assembly) on the CODE view of the
-    English documents: one Go program per source.  Reports kept specs and
-    status per program."""
+    closure from main -> prune -> rename -> assembly) on the CODE view of all
+    documents: one Go program per source.  The text in parts, with the number of
+    kept specs and the status of its program."""
     from .code_bundle import bundle_corpora
     files, manifests = A.doc_programs(A.table(spark, sf_dir, "documents"))
     out = bundle_corpora(files, manifests)
-    return out["bundles"].select("corpus_id", "n_specs", "status")
+    return out["parts"].join(out["bundles"].select("corpus_id", "n_specs", "status"), "corpus_id")

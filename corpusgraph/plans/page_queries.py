@@ -105,20 +105,20 @@ def p3_nesting_depth(spark, sf_dir):
     return pages.select("page_id", lex.max_running_depth(deltas).cast("bigint").alias("max_depth"))
 
 
-@register("p8_classify_links", """
-SELECT page_id, regexp_extract(url, '^(?:[a-z]+://)?([^?#]*)', 1) AS import_path,
-       starts_with(url, 'https://') AS is_local,
-       split_part(regexp_extract(url, '^(?:[a-z]+://)?([^?#]*)', 1), '/', -1) AS alias
-FROM pages""")
+@register("p8_classify_links", """WITH n AS (
+  SELECT page_id, regexp_extract(url, '^(?:[a-z]+://)?([^?#]*)', 1) AS import_path,
+         regexp_replace(regexp_extract(url, 'https?://([^/?#]+)', 1), '^(www|m|blog)[.]', '') AS module FROM pages)
+SELECT page_id, import_path, module, import_path = module OR starts_with(import_path, module || '/') AS is_local,
+       split_part(import_path, '/', -1) AS alias, split_part(import_path, '/', -1) = '_' AS is_blank
+FROM n""")
 def p8_classify_links(spark, sf_dir):
-    """URL path as the import path; "local" = https scheme (the module); alias =
-    last path segment."""
+    """URL path as the import path, the host without its front label (www, m, blog)
+    as the module: pages of a front host are not module-local; alias = last segment."""
     pages = A.table(spark, sf_dir, "pages").select(
-        "page_id", "url", S.url_path("url").alias("path"),
-        F.regexp_extract("url", r"^([a-z]+)://", 1).alias("scheme"))
-    out = links.classify_imports(pages.withColumn("_is_https", F.col("scheme") == "https"),
-                                 "path", F.lit(None).cast("string"))
-    return out.select("page_id", "import_path", F.col("_is_https").alias("is_local"), "alias")
+        "page_id", S.url_path("url").alias("path"),
+        F.regexp_replace(S.url_host("url"), r"^(www|m|blog)[.]", "").alias("module"))
+    out = links.classify_imports(pages, "path", "module")
+    return out.select("page_id", "import_path", "module", "is_local", "alias", "is_blank")
 
 
 @register("f1_string_scalars", """
@@ -169,27 +169,40 @@ def j3_resolve_links(spark, sf_dir):
         "src", "ref", "target", "status")
 
 
-@register("j4_exclude_siblings", _PRE + """two AS (
-  SELECT DISTINCT a.src, b.dst FROM page_edges a JOIN page_edges b ON b.src = a.dst WHERE a.src <> b.dst)
+@register("j4_exclude_siblings", _PRE + f"""two AS (
+  SELECT DISTINCT a.src, b.dst FROM page_edges a JOIN page_edges b ON b.src = a.dst
+  WHERE a.src = {ROOT_PAGE} AND a.src <> b.dst)
 SELECT src, dst FROM two t
 WHERE NOT EXISTS (SELECT 1 FROM page_edges e WHERE e.src = t.src AND e.dst = t.dst)""")
 def j4_exclude_siblings(spark, sf_dir):
-    """Pages reached in two hops that are not already direct links."""
-    edges = A.page_edges(_nodes(spark, sf_dir))
-    two = links.two_hop(edges).where(F.col("src") != F.col("dst"))
-    return links.exclude_siblings(two, edges, ["src", "dst"])
+    """What the pages linked by the root page link to, without the root page's own
+    links (the reference compares one root's imports with its sub-imports)."""
+    nodes = _nodes(spark, sf_dir)
+    roots = nodes.where(F.col("page_id") == ROOT_PAGE).select(F.col("page_id").alias("src"))
+    refs = A.page_refs(nodes).select(F.col("page_id").alias("src"), "ref").distinct()
+    named = nodes.where(F.col("name") != "").select(F.col("name").alias("ref"), F.col("page_id").alias("dst"))
+    direct = (roots.join(refs, "src").join(named, "ref").select("src", "dst").distinct())
+    sub = links.sub_imports(roots, refs, named).where(F.col("src") != F.col("dst"))
+    return links.exclude_siblings(sub, direct, ["src", "dst"])
 
 
 # ------------------------------------------------------------------ C1 / C3
 
+def _owners(reach, col: str, kind: str):
+    """The owners among the nodes of a page graph; a link is two hops."""
+    return reach.where(F.col("key").startswith("o:")).select(
+        F.substring("key", 3, 1 << 20).cast(kind).alias(col), F.floor(F.col("hop") / 2).cast("bigint").alias("hop"))
+
+
 @register("c1_reachable_pages", _PRE + f"""seeds AS (SELECT {ROOT_PAGE} AS key),
 """ + Q.bfs("reach", "seeds", "page_edges", group=None) + """
 SELECT key AS page_id, hop FROM reach""")
 def c1_reachable_pages(spark, sf_dir):
     """Pages reachable from the root page, with min hop."""
     nodes = _nodes(spark, sf_dir)
-    seeds = nodes.where(F.col("page_id") == ROOT_PAGE).select(F.col("page_id").alias("key"))
-    return C.reachable(seeds, A.page_edges(nodes), []).withColumnRenamed("key", "page_id")
+    seeds = nodes.where(F.col("page_id") == ROOT_PAGE).select(
+        F.concat(F.lit("o:"), F.col("page_id").cast("string")).alias("key"))
+    return _owners(C.reachable(seeds, A.page_links(nodes), []), "page_id", "bigint")
 
 
 @register("c3_transitive_packages", _PRE + """host_of AS (SELECT page_id, host FROM page_nodes),
@@ -203,11 +216,5 @@ def c3_transitive_packages(spark, sf_dir):
     """Host graph (host imports host when one of its pages links to the
     other's): hosts reached from the smallest host with min hop."""
     nodes = _nodes(spark, sf_dir)
-    host_of = nodes.select("page_id", "host")
-    e = A.page_edges(nodes)
-    host_edges = (e.join(host_of.withColumnRenamed("page_id", "src").withColumnRenamed("host", "hs"), "src")
-                  .join(host_of.withColumnRenamed("page_id", "dst").withColumnRenamed("host", "hd"), "dst")
-                  .where(F.col("hs") != F.col("hd"))
-                  .select(F.col("hs").alias("src"), F.col("hd").alias("dst")).distinct())
-    seeds = nodes.agg(F.min("host").alias("key"))
-    return C.reachable(seeds, host_edges, []).withColumnRenamed("key", "host")
+    seeds = nodes.agg(F.min("host").alias("host")).select(F.concat(F.lit("o:"), "host").alias("key"))
+    return _owners(C.reachable(seeds, A.page_links(nodes, "host"), []), "host", "string")

@@ -8,17 +8,28 @@ Spark operators; nothing in the library executes them.
 from __future__ import annotations
 
 
-def doc_units(langs: str | None = "'en'") -> str:
+def ordinal_prefix(n: str) -> str:
+    """1 -> a, 26 -> z, 27 -> aa as SQL: the place among the words of its length,
+    written in base 26 with that many digits (all of BIGINT)."""
+    least = [sum(26 ** j for j in range(1, k)) + 1 for k in range(1, 16)]  # first ordinal of k letters
+    size = " ".join(f"WHEN {n} < {least[k]} THEN {k}" for k in range(1, 14)) + " ELSE 14"
+    first = f"[{', '.join(str(x) for x in least[:14])}]::HUGEINT[]"
+    power = f"[{', '.join(str(26 ** k) for k in range(14))}]::HUGEINT[]"
+    k = f"(CASE {size} END)"
+    return (f"array_to_string(list_transform(generate_series({k}, 1, -1), "
+            f"lambda d: chr(CAST(97 + (({n} - ({first})[{k}]) // ({power})[d]) % 26 AS INTEGER))), '')")
+
+
+def doc_units() -> str:
     """CTEs ``doc_units`` (and helpers) mirroring adapters.doc_units."""
-    where = f"WHERE lang IN ({langs})" if langs else ""
-    return f"""doc_lines AS (
+    return """doc_lines AS (
   SELECT source AS corpus_id, doc_id, lang, unnest(arr) AS line, generate_subscripts(arr, 1) AS ln
-  FROM (SELECT source, doc_id, lang, string_split(text, chr(10)) AS arr FROM documents {where})
+  FROM (SELECT source, doc_id, lang, string_split(text, chr(10)) AS arr FROM documents)
 ), doc_w AS (
-  SELECT *, regexp_extract_all(lower(line), '\\p{{L}}+') AS words FROM doc_lines
+  SELECT *, regexp_extract_all(lower(line), '\\p{L}+') AS words FROM doc_lines
 ), doc_units AS (
   SELECT corpus_id, doc_id, lang, CAST(ln AS BIGINT) AS ln, line, words, words[1] AS name,
-         [w FOR w IN words[2:] IF length(w) >= 4 AND w <> words[1]] AS mentions
+         [w FOR w IN words[2:] IF w <> words[1]] AS mentions
   FROM doc_w WHERE len(words) >= 2
 ), doc_names AS (
   SELECT DISTINCT corpus_id, name FROM doc_units

@@ -25,8 +25,13 @@ def read_source_files(spark: SparkSession, path: str, include: str = "*.go",
     # ``text()`` has its own wholetext argument; the reader option alone is overridden.
     df = reader.text(path, wholetext=True).select(F.col("value").alias("src"),
                                   F.col("_metadata.file_path").alias("_abs"))
-    root = path.rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("_abs", r"^file:", ""), "^" + _regex_quote(root) + "/?", "")
+    # Paths as the file system names them (with scheme and host), then decoded:
+    # the metadata column is URL-encoded and always full.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(hadoop).toUri().getPath().rstrip("/")
+    plain = F.url_decode(F.replace(F.regexp_replace("_abs", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    rel = F.regexp_replace(plain, "^" + _regex_quote(root) + "/?", "")
     df = df.select(
         F.lit(corpus_id or root).alias("corpus_id"),
         S.parent_dir(rel).alias("pkg_path"),
@@ -125,7 +130,8 @@ def bundle_report(bundles: DataFrame, group_cols: Sequence[str], text_col: str =
 def write_bundles(parts: DataFrame, path: str, group_col: str = "corpus_id",
                   order_cols: Sequence[str] = ("ord",), text_col: str = "text",
                   fmt: str = "text") -> None:
-    """Write bundles, one directory per corpus, overwriting earlier output.
+    """Write bundles, one directory per corpus, overwriting earlier output of
+    the same corpora (others stay).
 
     Writes ordered *parts* (not one giant string): rows are range-partitioned
     on (corpus, order) and sorted inside each partition, so the files of a
@@ -133,7 +139,8 @@ def write_bundles(parts: DataFrame, path: str, group_col: str = "corpus_id",
     """
     keys = [group_col, *order_cols]
     ordered = parts.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    writer = ordered.select(group_col, text_col).write.mode("overwrite").partitionBy(group_col)
+    writer = (ordered.select(group_col, text_col).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy(group_col))
     if fmt == "text":
         writer.text(path)
     else:

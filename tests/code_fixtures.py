@@ -1,6 +1,6 @@
 """Two small Go programs written for the tests (shapes described in
 FIXTURES.md §3): "flat" (one package, four files) and "nested" (root package
-in a sub-directory importing three packages, one of which imports a fourth)."""
+in a sub-directory; four packages, one imported under another name)."""
 
 FLAT = {
     "go.mod": "module flatdemo\n\ngo 1.21\n",
@@ -88,97 +88,88 @@ func TestNothing() {}
 }
 
 NESTED = {
-    "go.mod": "module nestdemo\n",
-    "cmd/main.go": '''package main
+    "go.mod": "module shopdemo\n",
+    "app/run.go": '''package main
 
 import (
-\t"fmt"
+\t"os"
 
-\t"nestdemo/alpha"
-\t"nestdemo/beta"
-\t"nestdemo/gamma"
+\tstock "shopdemo/inventory"
+\t"shopdemo/report"
 )
 
 func main() {
-\tw := alpha.Widget{Size: alpha.Compute(2)}
-\tfmt.Println(w, beta.Compute(3), alpha.Offset[alpha.Right])
-\tm := gamma.NewMeter(alpha.Base)
-\tm.Tick()
-\tfmt.Println(m.Reading())
+\tshelf := stock.Load(os.Args)
+\tshelf.Add(stock.Crate, 4)
+\treport.Print(os.Stdout, shelf)
 }
 ''',
-    "alpha/alpha.go": '''package alpha
+    "inventory/shelf.go": '''package inventory
+
+import "shopdemo/money"
 
-type Direction int
+type Kind string
 
 const (
-\tUp Direction = iota
-\tRight
-\tDown
-\tLeft
+\tCrate Kind = "crate"
+\tSack  Kind = "sack"
 )
 
-var Offset = [4]int{Up: -1, Right: 1, Down: 1, Left: -1}
-
-const Base = 5
-
-const UnusedLimit = 99
-
-var Total = 100
+const retired = "old"
 
-type Widget struct {
-\tSize int
+type Shelf struct {
+\tKind  Kind
+\tcount map[Kind]int
 }
 
-func Compute(n int) int {
-\treturn n * Base
+func Load(args []string) *Shelf {
+\treturn &Shelf{count: map[Kind]int{}}
 }
 
-func UnusedCompute() int {
-\treturn 0
+func (s *Shelf) Add(k Kind, n int) {
+\ts.count[k] += n
 }
-''',
-    "beta/beta.go": '''package beta
 
-func Compute(n int) int {
-\treturn n + 1
+func (s *Shelf) Worth() money.Cents {
+\treturn money.Of(len(s.count))
 }
 
-func UnusedCompute() int {
-\treturn 1
-}
+func Discard() {}
 ''',
-    "gamma/gamma.go": '''package gamma
+    "money/money.go": '''package money
 
-import (
-\t"nestdemo/alpha"
-\t"nestdemo/gamma/epsilon"
-)
+type Cents int
 
-type Meter struct {
-\tlevel int
+func Of(n int) Cents {
+\treturn Cents(n * rate)
 }
 
-type Gauge struct {
-\tMeter
-}
+var rate = 100
 
-func NewMeter(start int) *Meter {
-\treturn &Meter{level: epsilon.Scale(start)}
-}
+var unusedRate = 7
+''',
+    "report/report.go": '''package report
 
-func (m *Meter) Tick() {
-\tm.level++
-}
+import (
+\t"fmt"
+\t"io"
 
-func (m *Meter) Reading() int {
-\treturn m.level + alpha.Total
+\t"shopdemo/internal/tbl"
+\t"shopdemo/inventory"
+)
+
+func Print(w io.Writer, s *inventory.Shelf) {
+\tfmt.Fprintln(w, tbl.Row("worth", int(s.Worth())))
 }
+
+func Load() {}
 ''',
-    "gamma/epsilon/epsilon.go": '''package epsilon
+    "internal/tbl/tbl.go": '''package tbl
+
+import "strconv"
 
-func Scale(n int) int {
-\treturn n * 2
+func Row(name string, n int) string {
+\treturn name + ": " + strconv.Itoa(n)
 }
 ''',
 }

@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import scalars as S
-from corpusgraph.functions.ordering import group_ordinal, ordered_concat
+from corpusgraph.functions.ordering import group_ordinal, ordered_parts
 from corpusgraph.operators import symbols
 from corpusgraph.plans import closure as C
 
@@ -49,25 +50,38 @@ def test_reachable_matches_bfs_and_is_idempotent(spark):
 def test_reachable_raises_instead_of_truncating(spark):
     e = spark.createDataFrame([("c", f"n{i}", f"n{i+1}") for i in range(6)], "corpus_id string, src string, dst string")
     s = spark.createDataFrame([("c", "n0")], "corpus_id string, key string")
-    try:
-        C.reachable(s, e, max_rounds=2, steps_per_job=1)
-    except C.RoundLimitExceeded:
-        pass
-    else:
-        raise AssertionError("expected RoundLimitExceeded")
+    assert C.reachable(s, e, max_rounds=6).count() == 7  # converged in the last round allowed
+    with pytest.raises(C.RoundLimitExceeded):
+        C.reachable(s, e, max_rounds=5)
 
 
-def test_group_ordinal_and_ordered_concat_match_window(spark):
+def test_group_ordinal_and_ordered_parts_match_window(spark):
     rnd = random.Random(3)
-    rows = [("hot" if rnd.random() < 0.6 else f"g{rnd.randrange(5)}", i, f"v{i}") for i in rnd.sample(range(5000), 800)]
+    groups = ["hot", None, *(f"g{k}" for k in range(5))]
+    rows = [("hot" if rnd.random() < 0.6 else rnd.choice(groups), i, f"v{i}" if i % 9 else None)
+            for i in rnd.sample(range(5000), 800)]
     df = spark.createDataFrame(rows, "g string, o long, v string")
     got = {(r.g, r.o): r.ord for r in group_ordinal(df, ["g"], ["o"], partitions=7).collect()}
     w = Window.partitionBy("g").orderBy("o")
     want = {(r.g, r.o): r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == want
-    cat = {r.g: r.text for r in ordered_concat(df, ["g"], ["o"], "v", sep=",", partitions=7).collect()}
+    parts = ordered_parts(df, ["g"], ["o"], "v", sep=",", rows_per_part=10).collect()
+    assert all(r.n_rows <= 10 for r in parts)
     for g in {r[0] for r in rows}:
-        assert cat[g] == ",".join(v for gg, o, v in sorted(rows, key=lambda x: x[1]) if gg == g)
+        text = ",".join(r.text for r in sorted((p for p in parts if p.g == g), key=lambda p: p.part))
+        assert text == ",".join(v for gg, o, v in sorted(rows, key=lambda x: x[1]) if gg == g and v)
+
+
+def test_group_ordinal_on_many_rows_with_payload(spark):
+    """Columns that only one of the two branches needs must not change the layout."""
+    n = 300_000
+    df = spark.range(n).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("o"),
+                               F.repeat(F.lit("x"), F.lit(20)).alias("payload"), "id")
+    ranked = group_ordinal(df, ["g"], ["o"], partitions=13)
+    w = Window.partitionBy("g").orderBy("o")
+    right = df.select("id", F.row_number().over(w).alias("rn"))
+    assert ranked.select("id", "ord").join(right, "id").where("ord <> rn").count() == 0
+    assert ranked.count() == n
 
 
 def test_keep_first_greedy_matches_sequential(spark):
@@ -100,6 +114,18 @@ def test_ordinal_prefix(spark):
     assert len(set(got.values())) == len(got)
 
 
+def test_ordinal_prefix_covers_bigint(spark):
+    def letters(n):
+        out = ""
+        while n:
+            n, d = divmod(n - 1, 26)
+            out = chr(97 + d) + out
+        return out
+    ns = [1, 26 ** 7, 8_353_082_582, 8_353_082_583, 2 ** 53 + 1, 2 ** 62 + 12345, 2 ** 63 - 1]
+    df = spark.createDataFrame([(n,) for n in ns], "n long")
+    assert [r.p for r in df.select(S.ordinal_prefix("n").alias("p")).collect()] == [letters(n) for n in ns]
+
+
 def test_symbol_and_position_keys(spark):
     df = spark.createDataFrame([("*T", "Read", "a.go", 3, 1), (None, "main", "a.go", 9, 1),
                                 ("Stack[T]", "Push", "b.go", 10, 1), ("", "helper", "b.go", 2, 1)],

@@ -14,8 +14,8 @@ from tests.code_fixtures import NESTED
 def test_read_bundle_write_roundtrip(spark):
     root = tempfile.mkdtemp(prefix="corpusgraph-src-")
     tree = dict(NESTED)
-    tree["alpha/alpha_test.go"] = "package alpha\n\nfunc TestIt() {}\n"
-    tree["alpha/notes.txt"] = "not go\n"
+    tree["money/money_test.go"] = "package money\n\nfunc TestIt() {}\n"
+    tree["money/notes.txt"] = "not go\n"
     for rel, text in tree.items():
         path = os.path.join(root, rel)
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -23,14 +23,14 @@ def test_read_bundle_write_roundtrip(spark):
             fh.write(text)
     files = read_source_files(spark, root, corpus_id="nested")
     got = {r.path for r in files.collect()}
-    assert got == {"cmd/main.go", "alpha/alpha.go", "beta/beta.go", "gamma/gamma.go",
-                   "gamma/epsilon/epsilon.go"}
-    assert {r.pkg_path for r in files.collect()} == {"cmd", "alpha", "beta", "gamma", "gamma/epsilon"}
-    manifests = spark.createDataFrame([("nested", "nestdemo", "cmd")],
+    assert got == {p for p in NESTED if p.endswith(".go")}
+    assert {r.pkg_path for r in files.collect()} == {"app", "inventory", "money", "report", "internal/tbl"}
+    manifests = spark.createDataFrame([("nested", "shopdemo", "app")],
                                       "corpus_id string, module_name string, root_pkg string")
     out = bundle_corpora(files.select("corpus_id", "path", "src"), manifests)
-    bundle = out["bundles"].collect()[0]
-    assert bundle.status == "ok" and "func aCompute(" in bundle.text and "TestIt" not in bundle.text
+    assert out["bundles"].collect()[0].status == "ok"
+    text = out["parts"].collect()[0].text
+    assert "func aLoad(" in text and "TestIt" not in text
 
     dest = os.path.join(tempfile.mkdtemp(prefix="corpusgraph-out-"), "bundles")
     parts = spark.createDataFrame([("nested", 1, "package main"), ("nested", 2, "func main() {}"),
@@ -39,3 +39,8 @@ def test_read_bundle_write_roundtrip(spark):
     back = spark.read.text(os.path.join(dest, "corpus_id=nested")).collect()
     assert [r.value for r in back] == ["package main", "func main() {}"]
     assert spark.read.text(dest).where(F.col("corpus_id") == "other").count() == 1
+    # a later run writes only its own corpora anew, and a bundle's parts can be written as they are
+    write_bundles(out["parts"], dest, order_cols=["part"])
+    assert spark.read.text(dest).where(F.col("corpus_id") == "other").count() == 1
+    lines = [r.value for r in spark.read.text(os.path.join(dest, "corpus_id=nested")).collect()]
+    assert "\n".join(lines) == text
