@@ -182,7 +182,7 @@ def unpacked(column) -> list[bytes]:
     return [d.decompress(z) for z in column.to_pylist()]
 
 
-def _bytes_and_offsets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def bytes_and_offsets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     off = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(t) for t in texts], dtype=np.int64)))
     return np.frombuffer(b"".join(texts), np.uint8), off
 
@@ -203,7 +203,7 @@ def _fetch(reps: DataFrame, texts: DataFrame, symbols: Symbols, window: int, gra
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 b = batch.slice(start, 64)
-                data, boff = _bytes_and_offsets(unpacked(b.column(1)))
+                data, boff = bytes_and_offsets(unpacked(b.column(1)))
                 x, off = symbols(data, boff)
                 seq = Sequence(x, off, window, gram)
                 lists = b.column(2)
