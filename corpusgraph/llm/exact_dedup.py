@@ -30,7 +30,10 @@ from .common import documents
 from .registry import register
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Session settings while the state is written and read.  RocksDB would reserve
+#: several MB of disk for each of many small stores.
+STATE_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+                  "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Text files of the log in one micro-batch; more files make more batches.
 FILES_PER_BATCH = 20_000
 
@@ -52,20 +55,22 @@ def _keep_state(spark: SparkSession, log: str, schema, files_per_batch: int) ->
               .groupBy("digest")
               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"),
                    F.count(F.lit(1)).alias("n")))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
     try:
+        for k, v in STATE_SETTINGS.items():
+            spark.conf.set(k, v)
         query = (stream.writeStream.format("noop").outputMode("update")
                  .option("checkpointLocation", at).trigger(availableNow=True).start())
         query.awaitTermination()
+        # The state itself, as the last commit left it: key (digest), value (first, n) by position.
+        state = spark.read.format("statestore").load(at)
+        first, n = state.schema["value"].dataType.names
+        return materialize(state.select(
+            F.col("key.digest").alias("digest"), F.col("value").getField(first).alias("first"),
+            F.col("value").getField(n).alias("n")), "state")
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    # The state itself, as the last commit left it: key (digest), value (first, n) by position.
-    state = spark.read.format("statestore").load(at)
-    first, n = state.schema["value"].dataType.names
-    state = state.select(F.col("key.digest").alias("digest"), F.col("value").getField(first).alias("first"),
-                         F.col("value").getField(n).alias("n"))
-    return materialize(state, "state")
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
