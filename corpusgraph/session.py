@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
+_tables: list[str] = []
+
+
+@contextmanager
+def table_scope(spark: SparkSession):
+    """Owner of the tables that :func:`materialize` writes inside: they are deleted
+    when the block ends, so the block must consume its results."""
+    first = len(_tables)
+    try:
+        yield
+    finally:
+        path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for table in _tables[first:]:
+            path = path_of(table)
+            path.getFileSystem(conf).delete(path, True)
+        del _tables[first:]
+
+
 def materialize(df: DataFrame, tag: str = "step", with_count: bool = False):
     """Write ``df`` as a parquet table under the reliable checkpoint directory
     and return a frame reading it back (and its row count if ``with_count``).
@@ -77,6 +97,7 @@ def materialize(df: DataFrame, tag: str = "step", with_count: bool = False):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/corpusgraph-tables/{tag}-{uuid.uuid4().hex}"
+    _tables.append(path)
     schema = df.schema
     if with_count:
         obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")

@@ -1,5 +1,6 @@
 """Properties of the generic operators against brute force on small inputs."""
 
+import os
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from corpusgraph.functions import scalars as S
 from corpusgraph.functions.ordering import group_ordinal, ordered_parts
 from corpusgraph.operators import symbols
 from corpusgraph.plans import closure as C
+from corpusgraph.session import materialize, table_scope
 
 
 def bfs(seeds, edges):
@@ -134,3 +136,11 @@ def test_symbol_and_position_keys(spark):
                     S.position_key(["path", "line", "col"], "name").alias("p")).collect()
     assert [r.k for r in out] == ["T.Read", "main", "Push", "helper"]
     assert [r.p for r in out] == ["a.go:3:1", "main", "b.go:10:1", "b.go:2:1"]
+
+
+def test_table_scope_deletes_what_it_wrote(spark):
+    with table_scope(spark):
+        df = materialize(spark.range(5), "scoped")
+        folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+        assert df.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
