@@ -19,12 +19,23 @@ from ..session import materialize
 
 #: Text bytes handled at once inside a task; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
+def bounded_batches(spark) -> None:
+    """Let at most ``BATCH_ROWS`` rows at once go from Spark to a Python worker: texts
+    may be long, and rows are all that Spark bounds a batch by."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
@@ -85,6 +96,7 @@ def keep_rows(docs: DataFrame, decider: Callable[[], Callable], text_col: str =
               limit: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs``, columns as they are, whose text is kept.  Each task
     calls ``decider()`` once; what it returns maps (bytes, offsets) to a mask."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

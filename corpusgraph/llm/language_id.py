@@ -38,7 +38,7 @@ FOLDS, HELD_OUT = 3, 1
 DOCS_PER_LANGUAGE, SEGMENTS_PER_DOC = 500, 6
 SEGMENT, HIDDEN, EPOCHS, BATCH, RATE = 64, 8, 6, 384, 0.02
 #: Segments that go through the network at once.
-BLOCK = 8192
+BLOCK = 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -39,7 +39,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Bounds of what a worker remembers of chunks and of words: characters, and 40
 #: for each entry.
-CHUNK_CACHE, WORD_CACHE = 32 << 20, 48 << 20
+CHUNK_CACHE, WORD_CACHE = 12 << 20, 36 << 20
 
 PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
           "part int, part_rank bigint")
