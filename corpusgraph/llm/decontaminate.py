@@ -22,7 +22,6 @@ benchmark hits nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE1, U64, Rolling, documents, keep_rows, mix, slices, text_buffers
+from .common import documents, keep_rows, slices, text_buffers
 from .registry import register
+from .words import words_of
 
 WINDOW = 10
 #: Words of test phrases shipped to the tasks at once.
@@ -42,26 +42,13 @@ SHARD_BYTES = 4 << 20
 #: Every so many suffix positions are kept.
 SAMPLE = 8
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_BYTE_CODE = mix(np.arange(1, 257, dtype=U64))
 
 
-def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte, 64-bit hash of the lower-cased word, and text number
-    of each word; a word never crosses from one text to the next."""
-    inside = _IS_WORD[data]
-    before, after = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
-    before[1:], after[:-1] = inside, inside
-    before[off] = False
-    after[off] = False  # after[i] tells of byte i; a text's last byte looks at off
-    first = np.flatnonzero(inside & ~before[:-1])
-    last = np.flatnonzero(inside & ~after[1:]) + 1
-    r = Rolling(_BYTE_CODE[_LOWER[data]], BASE1)
-    h = mix(r.of(first, last) + (last - first).astype(U64))
-    return first, last, h, np.searchsorted(off, first, "right") - 1
+def phrase_words(data: np.ndarray, off: np.ndarray):
+    """Words of letters, digits and signs beyond ASCII, lower-cased."""
+    return words_of(data, off, _IS_WORD, lower=True)
 
 
 @dataclass
@@ -78,7 +65,7 @@ class Phrases:
 def phrases_of(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
     texts = pa.array([t or "" for _, t in items], pa.string())
     data, off = text_buffers(texts)
-    _, _, h, doc = words_of(data, off)
+    _, _, h, doc = phrase_words(data, off)
     vocabulary = np.unique(h)
     ids = (np.searchsorted(vocabulary, h) + 1).astype(np.int32)
     at = np.searchsorted(doc, np.arange(len(items) + 1))
@@ -198,7 +185,7 @@ def fold(word_ids: np.ndarray, doc: np.ndarray, shortest: int) -> tuple[np.ndarr
 def shard_hits(data: np.ndarray, off: np.ndarray, phrases: Phrases):
     """Per word: text number and whether a phrase covers it; word bounds; and
     the distinct (text number, phrase) pairs of one shard."""
-    first, last, h, doc = words_of(data, off)
+    first, last, h, doc = phrase_words(data, off)
     n, v = len(h), phrases.vocabulary
     covered = np.zeros(n + 1, np.int64)
     pairs = np.zeros((0, 2), np.int64)
