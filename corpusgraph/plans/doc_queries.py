@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..functions.ordering import group_ordinal
 from ..session import materialize
 from ..operators import assemble, links, rename, symbols
