@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep_rows, slices, text_buffers
+from .common import documents, keep_rows, keyed, slices, text_buffers
 from .registry import register
 from .words import words_of
 
@@ -271,7 +271,7 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   phrase_words: int = PHRASE_WORDS) -> DataFrame:
     """``rid, doc_id, n_words, spans, items`` of every row of ``docs`` (which has
-    ``rid, doc_id, text``); spans are [word, words, first byte, last byte + 1]."""
+    ``rid, doc_id, text``, ``rid`` unique); spans are [word, words, first byte, last byte + 1]."""
     passes = [_pass(docs, p) for p in phrase_blocks(benchmark, window, phrase_words)]
     if not passes:
         passes = [_pass(docs, phrases_of([], window))]
@@ -281,7 +281,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
-    return every.groupBy("rid", "doc_id", "n_words").agg(
+    return every.groupBy("rid").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         union(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
@@ -332,8 +333,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)""")
 def op8_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ``documents`` inside ten-word windows of ``benchmark`` items."""
-    docs = documents(spark, sf_dir).select(F.lit(0).cast("bigint").alias("rid"), "doc_id", "text")
-    found = contamination(docs, benchmark_table(spark, sf_dir))
+    found = contamination(keyed(documents(spark, sf_dir)), benchmark_table(spark, sf_dir))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s[1])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -87,6 +88,22 @@ def test_stage_drops_contaminated_and_keeps_columns(spark, tmp_path):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [2, None]
 
 
+def test_query_keeps_repeated_rows_and_null_ids_over_several_blocks(spark, tmp_path, monkeypatch):
+    bench = [(1, "one two three"), (2, "red green blue")]
+    docs = [(None, "x one two three y"), (None, "a red green blue b"), (None, "p q r s t"), (5, "one two three red green blue"),
+            (5, "one two three red green blue"), (5, "u v w x y z"), (6, None), (6, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    blocks = D.phrase_blocks
+    monkeypatch.setattr(D, "phrase_blocks", lambda b, window, limit: blocks(b, window, 1))
+    assert len(list(D.phrase_blocks(D.benchmark_table(spark, str(tmp_path)), 10, 0))) == 2
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256)
+                  for r in D.op8_fm_decontaminate(spark, str(tmp_path)).collect()), key=str)
+    want = [(k, n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest())
+            for k, n, hit, items in brute(docs, bench)]
+    assert got == sorted(want, key=str)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "rid long, doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
