@@ -178,7 +178,13 @@ def j4_exclude_siblings(spark, sf_dir):
     """What the pages linked by the root page link to, without the root page's own
     links (the reference compares one root's imports with its sub-imports)."""
     nodes = _nodes(spark, sf_dir)
-    roots = nodes.where(F.col("page_id") == ROOT_PAGE).select(F.col("page_id").alias("src"))
+    return foreign_sub_imports(nodes, nodes.where(F.col("page_id") == ROOT_PAGE))
+
+
+def foreign_sub_imports(nodes, roots):
+    """``src, dst`` of any root pages: what their links link to, each without its own
+    links and itself."""
+    roots = roots.select(F.col("page_id").alias("src")).distinct()
     refs = A.page_refs(nodes).select(F.col("page_id").alias("src"), "ref").distinct()
     named = nodes.where(F.col("name") != "").select(F.col("name").alias("ref"), F.col("page_id").alias("dst"))
     direct = (roots.join(refs, "src").join(named, "ref").select("src", "dst").distinct())

@@ -47,3 +47,13 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns == ["corpus_id", "part", "n_parts", "n_bytes", "text"]
+
+
+def test_sub_imports_of_every_page_as_its_own_root(spark, con):
+    """j4's SQL without its root condition, over every page as a root."""
+    from corpusgraph.plans import page_queries as P
+    nodes = P._nodes(spark, SF)
+    got = sorted(map(tuple, P.foreign_sub_imports(nodes, nodes).select("src", "dst").collect()))
+    every = ORACLES["j4_exclude_siblings"].replace(f"a.src = {P.ROOT_PAGE} AND ", "")
+    assert every != ORACLES["j4_exclude_siblings"]
+    assert got and got == sorted(con.sql(every).select("src, dst").fetchall())
