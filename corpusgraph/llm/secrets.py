@@ -4,8 +4,10 @@
 is lexed as source or configuration: name-literal pairs are read from assignments,
 keyword arguments, mappings, attributes and elements (``name = "x"``, ``name: x``,
 ``"name": "x"``, ``name := 'x'``, ``name => "x"``, ``<name>x</name>``), concatenations
-included.  Names that were given literals carry them to the names they are assigned
-to.  A literal's score is the sensitivity of the most telling name it reaches times
+over several lines included.  A value, quoted or not, goes on by reference to the names
+that its name is assigned to, also as ``$NAME`` or ``${NAME}``; a later value replaces
+it.  Whole-value templates (``${..}``, ``<..>``, ``{{..}}``, ``%..%``) are no literals;
+``$NAME`` of a name without a value is one.  A literal's score is the sensitivity of the most telling name it reaches times
 how much like a secret it looks; at or over ``THRESHOLD`` it is a span.
 
 Each row is scanned for itself, so nothing is shuffled.  Defined results: a null text
@@ -19,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +32,9 @@ from .registry import register
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
-#: A name carries its literals on if it has at most so many.
-CARRIED = 64
+#: Characters of a value that tell a placeholder, and the length from which only the
+#: shares of its characters are kept.
+HEAD, LONG = 16, 1e12
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: Maximal runs with the length asked for.
@@ -42,22 +46,88 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
              "credential": 0.9, "credentials": 0.9, "token": 0.9, "auth": 0.7, "bearer": 0.8, "signature": 0.6,
              "salt": 0.6, "key": 0.6, "private": 0.5, "pin": 0.5, "cert": 0.5}
 #: Literals that stand for a value.
-PLACEHOLDER = re.compile(r"(?i)(x+|\*+|\.+|your.*|change.?me.*|example.*|placeholder|none|null|true|false|todo|test)\Z|.*[<${%]")
+PLACEHOLDER = re.compile(r"(?i)(x+|\*+|\.+|your.*|change.?me.*|example.*|placeholder|none|null|true|false|todo|test)\Z")
+TEMPLATE = re.compile(r"\$\{[^{}]*\}|<[^<>]*>|\{\{[^{}]*\}\}|%[^%]*%")
 
 _NAME = r"[A-Za-z_][\w.\-]*"
 STATEMENT = re.compile(
-    rf"(?<![\w.\-$])(?:(?P<q>[\"'])(?P<key>{_NAME})(?P=q)|(?P<name>{_NAME}))[ \t]*"
-    rf"(?::[ \t]*[A-Za-z_][\w.<>\[\]]{{0,60}}[ \t]*=(?![=>])|:=|=>|=(?![=>~])|:(?![:/]))[ \t]*(?=[\"'`\w$+/.\-])", re.A)
+    rf"(?<![\w.\-])(?:(?P<q>[\"'])(?P<key>{_NAME})(?P=q)|(?P<name>{_NAME}))[ \t]*"
+    rf"(?::[ \t]*[A-Za-z_][\w.<>\[\]]{{0,60}}[ \t]*=(?![=>])|:=|=>|=(?![=>~])|:(?![:/]))[ \t]*(?P<open>\(\s*)?(?=[\"'`\w$+/.\-])", re.A)
 ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<\n]+)</(?P=name)>", re.A)
 LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`')
-WORD = re.compile(_NAME + r"\b", re.A)
+WORD = re.compile(_NAME + r"\b(?![$@%&*!?/\\^~])", re.A)
+REFERENCE = re.compile(r"\$(?:\{([A-Za-z_]\w*)\}|([A-Za-z_]\w*))", re.A)
 BARE = re.compile(r"[^\s,;:=\"'`(){}\[\]<>#]+={0,2}")
-JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*|[ \t]+(?=[\"'])")
+#: An operator joins over the line end behind it, and over one before it if a quote follows.
+_OPERATOR = r"(?:\+|\.\.|\|\|)\s*"
+JOIN = re.compile(rf"[ \t]*{_OPERATOR}|\s*{_OPERATOR}(?=[\"'`])|[ \t]*(?:[ \t]|\\\r?\n)[ \t]*(?=[\"'])")
+JOIN_OPEN = re.compile(rf"{JOIN.pattern}|\s+(?=[\"'])")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
 
 Piece = tuple[int, int, str, bool]  # start, end, value, quoted
 
 
+@dataclass
+class Profile:
+    """What the score of a value needs: length, characters and how it begins.  Those
+    beyond Latin-1 are counted in 768 classes, so that a profile stays small."""
+
+    n: float
+    counts: Counter
+    spaced: bool
+    head: str
+    quoted: bool
+
+
+class Value:
+    """Literals and references to earlier values that an expression joins."""
+
+    __slots__ = ("parts", "_profile")
+
+    def __init__(self, parts: list[Piece | Value]):
+        self.parts, self._profile = parts, None
+        if any(isinstance(p, Value) for p in parts):
+            self._profile = profile(parts)  # while the values it refers to have theirs
+
+    def profile(self) -> Profile:
+        if self._profile is None:
+            self._profile = profile(self.parts)
+        return self._profile
+
+    def replaced(self) -> None:
+        """No later expression can refer to this value."""
+        self._profile = None
+
+
+def profile(parts: list[Piece | Value]) -> Profile:
+    out, times = Profile(0, Counter(), False, "", False), {}
+    if len(parts) == 1 and isinstance(parts[0], Value):
+        return parts[0].profile()
+    for p in parts:
+        if isinstance(p, Value):
+            q = p.profile()
+            times.setdefault(id(q), [q, 0])[1] += 1
+            head = q.head
+        else:
+            value, head = p[2], p[2][:HEAD]
+            out.n += len(value)
+            out.counts.update(value if value.isascii() else (c if ord(c) < 256 else ord(c) % 768 for c in value))
+            out.spaced |= any(c.isspace() for c in value)
+            out.quoted |= p[3]
+        if len(out.head) < HEAD:
+            out.head = (out.head + head)[:HEAD]
+    for q, k in times.values():
+        out.n += k * q.n
+        for c, v in q.counts.items():
+            out.counts[c] += k * v
+        out.spaced |= q.spaced
+        out.quoted |= q.quoted
+    if out.n > LONG:
+        out.counts = Counter({c: v / out.n * LONG for c, v in out.counts.items()})
+        out.n = LONG
+    return out
+
+
 def sensitivity(name: str) -> float:
     """Of a name in any of the usual spellings (snake, kebab, camel, dotted)."""
     parts = [p.lower() for p in PARTS.findall(name)]
@@ -65,71 +135,98 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
-def plausibility(value: str, quoted: bool) -> float:
-    """How much a literal looks like a secret: length and variety, no white space.
+def placeholder(p: Profile) -> bool:
+    one = {str(c).lower() for c in p.counts}
+    return len(one) == 1 and one <= {"x", "*", "."} or (
+        (m := PLACEHOLDER.match(p.head)) is not None and (p.n <= HEAD or m[1].lower().startswith(("your", "change", "example"))))
+
+
+def plausibility(p: Profile) -> float:
+    """How much a value looks like a secret: length and variety, no white space.
     A bare word must mix letters with digits."""
-    n = len(value)
-    if n < 6 or any(c.isspace() for c in value) or PLACEHOLDER.match(value):
+    if p.n < 6 or p.spaced or placeholder(p):
         return 0.0
-    if not quoted and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-        return 0.0
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, n / 8) * min(1.0, bits / 2.5)
+    if not p.quoted:
+        plain = [c if isinstance(c, str) else "" for c in p.counts]
+        letters = any(c.isalpha() for c in plain) or "" in plain
+        if not (letters and any(c.isdigit() for c in plain)):
+            return 0.0
+    bits = -sum(s * math.log2(s) for c in p.counts.values() if (s := c / p.n))
+    return min(1.0, p.n / 8) * min(1.0, bits / 2.5)
+
 
+def _literal(piece: Piece, known: dict[str, Value], refers: bool) -> list[Piece | Value]:
+    """A literal and the known names that it holds as ``$NAME`` or ``${NAME}``."""
+    refs = [m for m in REFERENCE.finditer(piece[2]) if (m[1] or m[2]) in known] if refers and "$" in piece[2] else []
+    found: list[Piece | Value] = [known[m[1] or m[2]] for m in refs]
+    whole = len(refs) == 1 and refs[0].span() == (0, len(piece[2]))
+    return found if whole or TEMPLATE.fullmatch(piece[2]) else [piece, *found]
 
-def _value(text: str, at: int, known: dict[str, list[Piece]]) -> list[Piece]:
-    """Literals that the expression at a place is made of."""
-    out: list[Piece] = []
+
+def _value(text: str, at: int, known: dict[str, Value], join: re.Pattern = JOIN) -> list[Piece | Value]:
+    """Literals and earlier values that the expression at a place is made of."""
+    out: list[Piece | Value] = []
+    first = True
     while True:
         m = LITERAL.match(text, at)
         if m:
             k = m.lastindex or 0
-            out.append((m.start(k), m.end(k), m[k], True))
+            out += _literal((m.start(k), m.end(k), m[k], True), known, text[at] != "'")
+        elif (m := REFERENCE.match(text, at)) and ((m[1] or m[2]) in known or m[1]):
+            out += [known[m[1] or m[2]]] if (m[1] or m[2]) in known else []
+        elif (m := WORD.match(text, at)) and m[0] in known:
+            out.append(known[m[0]])
+        elif not first:
+            return out
         else:
-            m = WORD.match(text, at)
-            if m and m[0] in known:
-                out += [p for p in known[m[0]] if p not in out[-CARRIED:]]
-            elif out:
+            m = BARE.match(text, at)
+            if not m:
                 return out
-            else:
-                m = BARE.match(text, at)
-                if not m:
-                    return out
-                value = m[0].rstrip(".,:")
-                out.append((at, at + len(value), value, False))
-        join = JOIN.match(text, m.end())
-        if not join:
+            value = m[0].rstrip(".,:")
+            out += _literal((at, at + len(value), value, False), known, True)
+        more = join.match(text, m.end())
+        if not more:
             return out
-        at = join.end()
+        at, first = more.end(), False
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[Piece]]]:
-    """Name-literal pairs in order, constants propagated."""
-    known: dict[str, list[Piece]] = {}
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """Names with their values in order; a name means its last value."""
+    known: dict[str, Value] = {}
     if "=" in text or ":" in text:
         for m in STATEMENT.finditer(text):
-            found = _value(text, m.end(), known)
+            found = _value(text, m.end(), known, JOIN_OPEN if m["open"] else JOIN)
             name = m["key"] or m["name"]
+            value = Value(found)
+            if name in known:
+                known.pop(name).replaced()
             if found:
-                if any(quoted for *_, quoted in found) and len(found) <= CARRIED:
-                    known[name] = found
-                yield name, found
+                known[name] = value
+                yield name, value
     if "</" in text:
         for m in ELEMENT.finditer(text):
-            yield m["name"], [(m.start("value"), m.end("value"), m["value"], True)]
+            if not TEMPLATE.fullmatch(m["value"]):
+                yield m["name"], Value([(m.start("value"), m.end("value"), m["value"], True)])
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Places of the literals that reach a sensitive name."""
-    found = set()
-    for name, pieces in pairs(text):
+    """Places of the literals that reach a sensitive name; each value is walked once."""
+    found, seen = set(), set()
+    for name, value in pairs(text):
         weight = sensitivity(name)
-        if weight < threshold:
+        if weight < threshold or weight * plausibility(value.profile()) < threshold:
             continue
-        joined = "".join(v for _, _, v, _ in pieces)
-        score = weight * plausibility(joined, any(q for *_, q in pieces))
-        if score >= threshold:
-            found.update((a, b) for a, b, v, _ in pieces if v)
+        todo = [value]
+        while todo:
+            at = todo.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            for p in at.parts:
+                if isinstance(p, Value):
+                    todo.append(p)
+                elif p[2]:
+                    found.add(p[:2])
     return sorted(found)
 
 

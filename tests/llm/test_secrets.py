@@ -52,6 +52,43 @@ def test_literals(text, want):
     assert sorted(text[a:b] for a, b in S.literal_spans(text)) == sorted(want)
 
 
+WHOLE = [
+    ('db_pwd = "aB3$kk9Zq1"', ["aB3$kk9Zq1"]),
+    ('password = "aB3%kk{9Zq<1"', ["aB3%kk{9Zq<1"]),
+    ('a_pwd = "${DB_PWD_9}"\nb_pwd = "<your-pwd-1>"\nc_pwd = "{{ vault.p1 }}"\nd_pwd = "%DB_PWD1%"', []),
+    ('k = "s3cr3t" +\n    "-v4lue"\nauth_key = k', ["s3cr3t", "-v4lue"]),
+    ('auth_key = "s3cr3t"\n  + "-v4lue"\nx = 1', ["s3cr3t", "-v4lue"]),
+    ('auth_key = ("s3cr3t"\n            "-v4lue")', ["s3cr3t", "-v4lue"]),
+    ("K9=q1w2e3r4t5\nDB_PWD=$K9", ["q1w2e3r4t5"]),
+    ('K9=q1w2e3r4t5\nDB_PWD="${K9}"', ["q1w2e3r4t5"]),
+    ('$k = "q1w2e3r4t5";\n$client_secret = $k;', ["q1w2e3r4t5"]),
+    ('k = "old1old2old3"\nk = "new4new5new6"\nauth = k', ["new4new5new6"]),
+    ('k = "old1old2old3"\nk = ""\nauth = k', []),
+]
+
+
+@pytest.mark.parametrize("text,want", WHOLE)
+def test_whole_values(text, want):
+    assert sorted(text[a:b] for a, b in S.literal_spans(text)) == sorted(want)
+
+
+def test_values_of_many_literals_are_carried():
+    parts = [f"p{k}Q" for k in range(500)]
+    text = 'k = "old0old1"\nk = ' + " + ".join(f'"{p}"' for p in parts) + "\nauth_token = k\n"
+    assert [text[a:b] for a, b in S.literal_spans(text)] == parts
+    grown = "".join(f'k = k + "{p}"\n' if i else f'k = "{p}"\n' for i, p in enumerate(parts)) + "auth_token = k\n"
+    assert [grown[a:b] for a, b in S.literal_spans(grown)] == parts
+
+
+def test_growing_values_take_linear_time():
+    t = time.process_time()
+    for text in ('token = "ab"\n' + 'token = token + "x1"\n' * 15_000, 'a = "b1"\n' + "a = a + a\n" * 30_000 + "token = a",
+                 'a = "b1"\ntoken = a' + " + a" * 80_000, 'a="b1"' + "\n" * 300_000, "a=(\n" * 60_000,
+                 'k = "' + "".join(map(chr, range(0x4E00, 0x9E00))) + '"\n' + "".join(f'b{i} = k + "1"\n' for i in range(2_000))):
+        S.literal_spans(text)
+    assert time.process_time() - t < 60
+
+
 def test_long_texts_take_linear_time():
     t = time.process_time()
     for text in ("a" * 300_000, "a=" * 100_000, "a.b-" * 80_000, "token " * 50_000, "token" + " " * 300_000, '"' * 300_000,
