@@ -2,25 +2,27 @@
 
 *Base spans.*  One pass over the whole texts finds e-mail addresses, IP numbers,
 card numbers and phone numbers.  ``split`` gives the gaps between matches, so a
-match's place is the running length before it; only matches and the few characters
-around them leave the scan.
+match's place is the running length before it; only matches leave the scan.
 
-*Protected entities* are the values found.  *Terms* are the words within
-``CONTEXT`` characters of one.  Over all N documents, with df the documents that
-hold a term or an entity and co those where the term stands near the entity,
+*Protected entities* are the values found.  *Terms* are the words of the documents
+that hold one, wherever they stand.  Over all N documents, with df the documents that
+hold a term or an entity and co those that hold both,
 
     disclosure(term, entity) = log2(co * N / (df(term) * df(entity))) / log2(N / df(entity))
 
 is the share of the entity's information that the term reveals (pointwise mutual
-information over information content).  Near an entity, terms at or over ``REMOVE``
-are removed and those at or over ``GENERALISE`` replaced by a class; a disclosure
-needs ``SUPPORT`` documents.  Documents without a protected entity stay as they are.
+information over information content).  In a document with the entity, every occurrence
+of a term at or over ``REMOVE`` is removed and of one at or over ``GENERALISE`` replaced
+by a class; a disclosure needs ``SUPPORT`` documents.  Documents without a protected
+entity stay as they are.
 
-Counts are aggregated before each shuffle, so frequent words cost a row per task.
+As co <= df(entity), a term of a share of at least s has df(term) <=
+N ** (1 - s) * df(entity) ** s: frequent words go before terms and entities are paired,
+which loses no term.  Counts are aggregated before each shuffle.
 
 Defined results: a null text is empty; repeated rows each get their row; nulls in
 ``doc_id`` stay; an empty table gives no rows; an entity in every document has no
-information to reveal, so nothing near it is a disclosure.
+information to reveal, so nothing beside it is a disclosure.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .registry import register
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 BASE = KINDS[:4]
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 60, 2, 0.6, 0.9
+SUPPORT, GENERALISE, REMOVE = 2, 0.6, 0.9
 
 #: The contract's patterns, written so that no start inside a run is tried twice and
 #: no repetition recurses: a match starts where its run starts, or where the match
@@ -51,16 +53,14 @@ TERM = r"\p{L}{3,}"
 
 
 def _pieces(kind: str, text: Column) -> Column:
-    """Matches of a kind with the length, head and tail of the gap before each; the
-    last piece has no match, only the gap behind the last one."""
+    """Matches of a kind with the length of the gap before each; the last piece has no
+    match, only the gap behind the last one."""
     hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)
     pieces = F.transform(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda x, i: F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), x["hit"].alias("hit"),
-        F.length(x["gap"]).cast("bigint").alias("gap"),
-        F.substring(x["gap"], 1, CONTEXT).alias("head"),
-        F.substring(x["gap"], -CONTEXT, CONTEXT).alias("tail")))
-    none = F.array().cast("array<struct<kind:int,i:int,hit:string,gap:bigint,head:string,tail:string>>")
+        F.length(x["gap"]).cast("bigint").alias("gap")))
+    none = F.array().cast("array<struct<kind:int,i:int,hit:string,gap:bigint>>")
     return F.when(text.rlike(HINTS[kind]), F.filter(pieces, lambda p: p["hit"].isNotNull() | (p["i"] > 0))
                   ).otherwise(none)
 
@@ -86,68 +86,94 @@ def _passes(kind: Column, hit: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``rid, kind, start, end, hit, before, after`` of every base span; kind is its
-    place in ``KINDS``, before and after are the text next to it."""
+    """``rid, kind, start, end, hit`` of every base span; kind is its place in ``KINDS``."""
     text = F.col("text")
     found = docs.where(text.isNotNull()).select(
         "rid", F.explode(F.concat(*[_pieces(k, text) for k in BASE])).alias("p")).select("rid", "p.*")
     each = Window.partitionBy("rid", "kind").orderBy("i")
     placed = found.select(
-        "rid", "kind", "hit", F.col("tail").alias("before"), F.lead("head").over(each).alias("after"),
-        F.sum(F.col("gap") + F.coalesce(F.length("hit"), F.lit(0))).over(
+        "rid", "kind", "hit", F.sum(F.col("gap") + F.coalesce(F.length("hit"), F.lit(0))).over(
             each.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
     return (placed.where(F.col("hit").isNotNull()).where(_passes(F.col("kind"), F.col("hit")))
-            .select("rid", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", "hit", "before", "after"))
+            .select("rid", "kind", (F.col("end") - F.length("hit")).alias("start"), "end", "hit"))
 
 
-def _terms(context: Column, offset: Column) -> Column:
-    """Words of a short context with their places in the document."""
-    cells = F.arrays_zip(F.regexp_extract_all(context, F.lit(TERM), F.lit(0)).alias("w"),
-                         F.split(context, TERM, -1).alias("g"))
+def candidates(docs: DataFrame) -> DataFrame:
+    """The documents that have a match of any kind: all that have a base span are among them."""
+    any_kind = F.lit(False)
+    for kind in BASE:
+        any_kind = any_kind | (F.col("text").rlike(HINTS[kind]) & F.col("text").rlike(PATTERNS[kind]))
+    return docs.where(any_kind)
+
+
+def words(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def held_entities(spans: DataFrame, n: int, support: int) -> DataFrame:
+    """``rid, entity, df_entity`` of the entities that can have a disclosure."""
+    held = spans.select("rid", F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), "hit"
+                                           ).alias("entity")).distinct()
+    df = held.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    return held.join(df.where((F.col("df_entity") >= support) & (F.col("df_entity") < n)), "entity")
+
+
+def held_terms(docs: DataFrame, held: DataFrame, n: int, support: int, low: float) -> DataFrame:
+    """``rid, term, df_term`` of the words of the documents with an entity, without
+    words too rare or too frequent for a disclosure of any entity."""
+    most = held.agg(F.max("df_entity")).first()[0] or 0
+    term_df = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    telling = term_df.where((F.col("df_term") >= support) & (F.col("df_term") <= _most_frequent(F.lit(most), n, low)))
+    texts = candidates(docs).select("rid", words(F.col("text")).alias("words")).join(
+        held.select("rid").distinct(), "rid", "left_semi")
+    return texts.select("rid", F.explode("words").alias("term")).join(telling, "term").select("rid", "term", "df_term")
+
+
+def _most_frequent(df_entity: Column, n: int, low: float) -> Column:
+    """The largest df of a term that can reveal ``low`` of an entity (a little over, for rounding)."""
+    return F.pow(F.lit(float(max(n, 1))), F.lit(1 - low)) * F.pow(df_entity.cast("double"), F.lit(float(low))) * 1.000001
+
+
+def beside(held: DataFrame, terms: DataFrame, n: int, low: float) -> DataFrame:
+    """``rid, entity, term, df_entity, df_term`` of the pairs that a document holds."""
+    return held.join(terms, "rid").where(F.col("df_term") <= _most_frequent(F.col("df_entity"), n, low))
+
+
+def disclosures(pairs: DataFrame, n: int, support: int = SUPPORT, low: float = GENERALISE) -> DataFrame:
+    """``entity, term, share`` of the terms beside an entity that reveal at least ``low``."""
+    together = pairs.groupBy("entity", "term", "df_entity", "df_term").agg(
+        F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
+    mutual = F.log2(F.col("together") * F.lit(float(n)) / (F.col("df_term") * F.col("df_entity")))
+    whole = F.log2(F.lit(float(n)) / F.col("df_entity"))
+    return together.select("entity", "term", (mutual / whole).alias("share")).where(F.col("share") >= low)
+
+
+def _places(text: Column, shares: Column) -> Column:
+    """Occurrences of the words that ``shares`` has, with their share."""
+    cells = F.arrays_zip(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("w"), F.split(text, TERM, -1).alias("g"))
     empty = F.struct(F.lit(0).cast("bigint").alias("at"),
-                     F.array().cast("array<struct<term:string,start:bigint,end:bigint>>").alias("out"))
+                     F.array().cast("array<struct<start:bigint,end:bigint,share:double>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.coalesce(F.length(x["w"]), F.lit(0))
-        term = F.struct(F.lower(x["w"]).alias("term"), start.alias("start"), end.alias("end"))
-        return F.struct(end.cast("bigint").alias("at"),
-                        F.when(x["w"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(term))).alias("out"))
-
-    placed = F.aggregate(cells, empty, step)["out"]
-    return F.transform(placed, lambda t: F.struct(t["term"].alias("term"), (t["start"] + offset).alias("start"),
-                                                  (t["end"] + offset).alias("end")))
-
-
-def nearby_terms(spans: DataFrame) -> DataFrame:
-    """``rid, entity, term, start, end``: words next to each base span.  A word that
-    the context's edge may cut is left out."""
-    # A full-length context may begin or end inside a word.
-    cut_before = F.when(F.length("before") == CONTEXT, F.regexp_replace("before", r"^\p{L}+", "")).otherwise(F.col("before"))
-    cut_after = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", r"\p{L}+$", "")).otherwise(F.col("after"))
-    sides = spans.select("rid", F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), "hit"
-                                            ).alias("entity"), "start", "end",
-                         cut_before.alias("before"), cut_after.alias("after"))
-    both = sides.select("rid", "entity", F.explode(F.concat(
-        _terms(F.col("before"), F.col("start") - F.length("before")),
-        _terms(F.col("after"), F.col("end")))).alias("t"))
-    return both.select("rid", "entity", "t.term", "t.start", "t.end")
-
-
-def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT, low: float = GENERALISE) -> DataFrame:
-    """``entity, term, share`` of the terms near an entity that reveal at least ``low``."""
-    n = docs.count()
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    term_df = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    entity_df = near.select("entity", "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    together = (near.select("entity", "term", "rid").distinct().groupBy("entity", "term")
-                .agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support))
-    wanted = together.select("term").distinct()
-    joined = (together.join(term_df.join(wanted, "term", "left_semi"), "term").join(entity_df, "entity"))
-    mutual = F.log2(F.col("together") * F.lit(float(n)) / (F.col("df_term") * F.col("df_entity")))
-    whole = F.log2(F.lit(float(n)) / F.col("df_entity"))
-    return (joined.where(F.col("df_entity") < n).select("entity", "term", (mutual / whole).alias("share"))
-            .where(F.col("share") >= low))
+        share = F.try_element_at(shares, F.lower(x["w"]))
+        place = F.struct(start.alias("start"), end.alias("end"), share.alias("share"))
+        return F.struct(end.alias("at"), F.when(share.isNull(), acc["out"]).otherwise(
+            F.concat(acc["out"], F.array(place))).alias("out"))
+
+    return F.aggregate(cells, empty, step)["out"]
+
+
+def occurrences(docs: DataFrame, pairs: DataFrame, telling: DataFrame) -> DataFrame:
+    """``rid, start, end, share`` of every occurrence of a term in the documents that
+    hold an entity that it reveals."""
+    shares = pairs.join(telling, ["entity", "term"]).groupBy("rid", "term").agg(F.max("share").alias("share"))
+    of_row = shares.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    found = candidates(docs).select("rid", "text").join(of_row, "rid").select(
+        "rid", F.explode(_places(F.col("text"), F.col("shares"))).alias("p"))
+    return found.select("rid", "p.*")
 
 
 def find_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE,
@@ -155,11 +181,14 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENE
     """``rid, doc_id, spans`` of every row of ``docs`` (``rid, doc_id, text``): spans
     are structs start, kind, end in the order of start and kind."""
     spans = materialize(base_spans(docs), "spans")
-    near = materialize(nearby_terms(spans), "terms")
-    telling = disclosures(docs, near, support, generalise)
-    flagged = (near.join(telling, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("share").alias("share"))
-               .select("rid", "start", F.when(F.col("share") >= remove, F.lit(KINDS.index("remove")))
-                       .otherwise(F.lit(KINDS.index("generalise"))).alias("kind"), "end"))
+    n = docs.count()
+    held = materialize(held_entities(spans, n, support), "entities")
+    terms = materialize(held_terms(docs, held, n, support, generalise), "terms")
+    pairs = beside(held, terms, n, generalise)
+    telling = materialize(disclosures(pairs, n, support, generalise), "telling")
+    flagged = occurrences(docs, pairs, telling).select(
+        "rid", "start", F.when(F.col("share") >= remove, F.lit(KINDS.index("remove")))
+        .otherwise(F.lit(KINDS.index("generalise"))).alias("kind"), "end")
     every = spans.select("rid", "start", "kind", "end").unionByName(flagged)
     # A term inside a base span goes: a base span before it in the order ends behind
     # its start, or one after it starts before its end.

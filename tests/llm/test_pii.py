@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -81,6 +82,38 @@ def test_telling_terms_and_clean_documents(spark):
     assert "zb" not in clean[0] and "Zaphod" not in clean[0] and "<EMAIL>" in clean[0] and clean[0].endswith("please.")
 
 
+def test_telling_terms_equal_brute_force_over_whole_texts(spark):
+    """Terms anywhere in a document count, and every occurrence of a telling one is flagged."""
+    r = random.Random(5)
+    common, rare = ["ship", "write", "noon", "Please", "Ärger"], ["Zaphod", "Trillian", "Marvin", "Ford", "arthur"]
+    fill = lambda n: " ".join(r.choice(common) for _ in range(n))
+    rows = [(k, f"{rare[k % 5]} {fill(40)} m{k % 5}@x.org {fill(40)} {rare[k % 5].upper()} {r.choice(rare)}.") for k in range(25)]
+    rows += [(100 + k, f"{fill(20)} {r.choice(rare) if k % 9 == 0 else ''}") for k in range(150)]
+    held, entities = {}, {}
+    for k, t in rows:
+        held[k] = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+        entities[k] = set(re.findall(r"m\d@x.org", t))
+    df = lambda of, x: sum(x in v for v in of.values())
+    want = {}
+    for k, t in rows:
+        share = {}
+        for e in entities[k]:
+            for w in held[k]:
+                both = sum(w in held[j] and e in entities[j] for j in held)
+                n, a, b = len(rows), df(held, w), df(entities, e)
+                s = math.log2(both * n / (a * b)) / math.log2(n / b)
+                if both >= P.SUPPORT and s >= P.GENERALISE:
+                    share[w] = max(s, share.get(w, 0))
+        mail = [m.span() for m in re.finditer(r"m\d@x.org", t)]
+        want[k] = [(m.start(), 5 if share[m[0].lower()] >= P.REMOVE else 4, m.end())
+                   for m in re.finditer(r"[^\W\d_]{3,}", t)
+                   if m[0].lower() in share and not any(a < m.end() and m.start() < b for a, b in mail)]
+    assert sum(map(len, want.values())) >= 50  # both ends of the texts, far from the address
+    docs = keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {x.doc_id: [(s.start, s.kind, s.end) for s in x.spans if s.kind > 3] for x in P.find_spans(docs).collect()}
+    assert got == want
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a@b.c"), (1, None), (2, "1.2.3.4"), (2, "1.2.3.4")], "doc_id long, text string")
     out = sorted(((r.doc_id, [(s.start, s.kind, s.end) for s in r.spans]) for r in P.find_spans(keyed(docs)).collect()), key=str)
