@@ -24,6 +24,7 @@ further columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import json
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,8 +96,9 @@ def orders(filters: str = FILTERS) -> list[tuple[str, int, int, int]]:
 
 def audit(combos: DataFrame) -> DataFrame:
     """Counts per part, order and step from ``part, mask, n, good, toxic``."""
-    steps = F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(p).alias("before"),
-                               F.lit(b).alias("bit")) for o, s, p, b in orders()])
+    # One constant, not 600 expressions that the optimizer would walk through.
+    steps = F.from_json(F.lit(json.dumps([dict(zip(("filter_order", "step", "before", "bit"), x)) for x in orders()])),
+                        "array<struct<filter_order: string, step: int, before: int, bit: int>>")
     opened = combos.select("*", F.explode(steps).alias("at")).select("part", "mask", "n", "good", "toxic", "at.*")
     fails, gone = F.expr("mask & bit") != 0, F.expr("mask & before") != 0
     total = lambda when, col: F.sum(F.when(when, F.col(col)).otherwise(F.lit(0))).cast("bigint")
