@@ -8,7 +8,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("exact_dedup", "decontaminate", "language_id", "near_dedup", "packing", "pii", "secrets", "url_filter",
-           "substring_dedup", "suffix_dedup", "filter_audit", "quality")
+           "substring_dedup", "suffix_dedup", "filter_audit", "quality",
+           "prefix_trie")
 
 
 def register(name: str, oracle: str | None = None):
