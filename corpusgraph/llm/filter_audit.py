@@ -55,9 +55,9 @@ def copies(texts: DataFrame, facts: DataFrame) -> DataFrame:
     text``) whose very text stands under a smaller id."""
     again = (facts.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
              .where("lo < hi").select("hash"))
-    # Written, so that its size is known when the join is planned.
-    several = materialize(texts.join(materialize(again, "again"), "hash", "left_semi"), "several")
-    first = several.groupBy("hash", "text").agg(F.min("doc_id").alias("first_id"))
+    several = materialize(texts.join(again, "hash", "left_semi"), "several")
+    # Written, so that nothing but an exchange stands below the join and AQE can split it.
+    first = materialize(several.groupBy("hash", "text").agg(F.min("doc_id").alias("first_id")), "first")
     d, f = several.alias("d"), first.alias("f")
     return d.join(f, (F.col("d.hash") == F.col("f.hash")) & (F.col("d.text") == F.col("f.text"))
                   & (F.col("f.first_id") < F.col("d.doc_id")), "left_semi").select(*KEY)
