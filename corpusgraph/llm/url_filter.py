@@ -6,7 +6,8 @@ longest fitting rule wins.  Urls that a rule judges are the labelled ones.  Tree
 are fitted on lexical features - lengths, depth, labels, share of digits, entropy,
 parameter counts, and two statistics of the host's suffix (how many labelled urls
 have it, and their smoothed share of blocks) - of at most ``TRAIN_ROWS`` labelled
-urls, the first by a hash of the url; the suffix statistics count all of them.
+urls, drawn by a hash; the suffix statistics count all of them, but a labelled url's come
+from the folds of other hosts.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is
 judged by the trees; without labelled urls the verdict is ``allow``, with labels of
@@ -34,6 +35,8 @@ TRAIN_ROWS = 50_000
 ROUNDS, DEPTH, SEED = 12, 4, 5
 #: Weight of the overall share of blocks in a suffix's share.
 SMOOTHING = 10.0
+#: Folds of hosts for the suffix statistics.
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_share", "entropy",
             "parameters", "has_fragment", "is_https", "suffix_count", "suffix_block")
@@ -104,14 +107,26 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: s
         return rows.select("page_id", "host", "path", "rule", F.coalesce(
             "ruled", F.lit("block" if n and blocked else "allow")).alias("verdict"),
             F.lit(float(bool(blocked))).alias("score"))
+    # Suffix statistics of a labelled url come from the other hosts' folds, so that its own
+    # label is not among its features; an unlabelled one (fold -1) takes those of all folds.
+    fold = F.when(F.col("ruled").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
     overall = blocked / n
-    by_suffix = known.groupBy("suffix").agg(F.count(F.lit(1)).alias("k"), F.sum(block).alias("b")).select(
-        "suffix", F.log2(F.col("k") + 1.0).alias("suffix_count"),
-        ((F.col("b") + SMOOTHING * overall) / (F.col("k") + SMOOTHING)).alias("suffix_block"))
-    rows = rows.join(by_suffix, "suffix", "left").fillna({"suffix_count": 0.0, "suffix_block": overall})
+    per_fold = known.groupBy("suffix", fold.alias("fold")).agg(F.count(F.lit(1)).alias("k"), F.sum(block).alias("b"))
+    # A suffix has at most FOLDS of these rows.
+    per_fold = per_fold.groupBy("suffix").agg(F.collect_list(F.struct("fold", "k", "b")).alias("folds"))
+    rows = rows.withColumn("fold", fold.cast("bigint")).join(per_fold, "suffix", "left")
+    others = F.filter(F.coalesce("folds", F.array().cast("array<struct<fold:bigint,k:bigint,b:double>>")),
+                      lambda x: x["fold"] != F.col("fold"))
+    k = F.aggregate(others, F.lit(0.0), lambda s, x: s + x["k"])
+    b = F.aggregate(others, F.lit(0.0), lambda s, x: s + x["b"])
+    rows = rows.withColumns({"suffix_count": F.log2(k + 1.0),
+                             "suffix_block": (b + SMOOTHING * overall) / (k + SMOOTHING)}).drop("folds", "fold")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    sample = (rows.where("ruled IS NOT NULL").select("features", block.alias("label"), "url")
-              .orderBy(F.xxhash64("url"), "url").limit(train_rows).select("features", "label"))
+    draw = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = (rows.where("ruled IS NOT NULL").where(draw < train_rows / n)
+              .select("features", block.alias("label")))
+    if sample.select("label").distinct().count() < 2:  # one kind was drawn: learn from all
+        sample = rows.where("ruled IS NOT NULL").select("features", block.alias("label"))
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED).fit(sample)
     scored = trees.transform(rows)
     by_trees = F.when(F.col("prediction") == 1.0, F.lit("block")).otherwise(F.lit("allow"))
