@@ -19,19 +19,20 @@ from ..session import materialize
 
 #: Text bytes handled at once inside a task; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch, and bytes from which on it takes no further row.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def bounded_batches(spark) -> None:
-    """Let at most ``BATCH_ROWS`` rows at once go from Spark to a Python worker: texts
-    may be long, and rows are all that Spark bounds a batch by."""
+    """Let at most ``BATCH_ROWS`` rows or about ``BATCH_BYTES`` at once go from Spark to a
+    Python worker: texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark, sf_dir: str) -> DataFrame:

@@ -31,9 +31,12 @@ from .registry import register
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Session settings while the state is written and read.  RocksDB would reserve
-#: several MB of disk for each of many small stores.
+#: several MB of disk for each of many small stores, and tens of MB of memory for each
+#: that is open; all stores of an executor share one bound.
 STATE_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE,
-                  "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+                  "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+                  "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+                  "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
 #: Text files of the log in one micro-batch; more files make more batches.
 FILES_PER_BATCH = 20_000
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -37,9 +38,10 @@ from .registry import register
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-#: Bounds of what a worker remembers of chunks and of words: characters, and 40
-#: for each entry.
-CHUNK_CACHE, WORD_CACHE = 12 << 20, 36 << 20
+#: Bounds of what a worker remembers of chunks and of words, in bytes of memory.
+CHUNK_CACHE, WORD_CACHE = 24 << 20, 72 << 20
+#: Bytes of a dictionary's slot, kept partly empty, beside key and value.
+SLOT = 72
 
 PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
           "part int, part_rank bigint")
@@ -62,7 +64,7 @@ class Remembered(dict):
 
     def __missing__(self, key: str) -> bytes:
         ids = self[key] = self.find(key)
-        self.held += len(key) + 40
+        self.held += sys.getsizeof(key) + sys.getsizeof(ids) + SLOT
         return ids
 
     def trim(self) -> None:
