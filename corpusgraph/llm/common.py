@@ -77,9 +77,21 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]:off[-1]], off - off[0]
 
 
+_remembered: dict[str, dict] = {}
+
+
+def worker_memory(owner: str) -> dict:
+    """What ``owner``'s tasks remember in this worker process.  Workers outlive tasks, so
+    the memory of other owners goes when a task of this one begins."""
+    for other in [k for k in _remembered if k != owner]:
+        del _remembered[other]
+    return _remembered.setdefault(owner, {})
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text",
-           limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+           limit: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each part holds about ``limit`` text bytes."""
+    worker_memory(owner)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -138,7 +150,7 @@ class Rolling:
             power, inverse = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
             power[0] = inverse[0] = 1
             have = (np.cumprod(power), np.cumprod(inverse))
-            if size <= 1 << 24:
+            if size <= 2 * SLICE_BYTES:  # those of longer texts are made for them alone
                 cls._powers[base] = have
         return have[0][:n], have[1][:n]
 

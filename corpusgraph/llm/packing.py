@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import documents, slices
+from .common import documents, slices, worker_memory
 from .registry import register
 
 VOCABULARY = "word_bpe_49k.json"
@@ -85,7 +85,6 @@ class Encoder:
 
     #: Letters (no combining marks, so normal forms are the same), then signs.
     SHAPE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
-    _of_worker: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,9 +96,10 @@ class Encoder:
     @classmethod
     def shared(cls, path: str) -> Encoder:
         """One per worker process: later tasks find what earlier ones remembered."""
-        if path not in cls._of_worker:
-            cls._of_worker[path] = cls(path)
-        return cls._of_worker[path]
+        held = worker_memory("packing")
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def _tokens(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -127,7 +127,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
         encoder, seen, end = Encoder.shared(path), np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, owner="packing"):
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 ids += end
