@@ -80,6 +80,46 @@ def missing_symbols(mentions: DataFrame, declared: DataFrame, offered: DataFrame
             .join(offered.select(*(offered_on or on)).distinct(), list(offered_on or on), "left_semi"))
 
 
+def complete_missing(declared: DataFrame, mentions: DataFrame, chosen: DataFrame, source_mentions: DataFrame,
+                     source_names: DataFrame) -> DataFrame:
+    """C4: add what is mentioned, not declared and offered, until nothing is missing.
+
+    declared: ``name`` of what is there; mentions: ``name`` of what that mentions;
+    chosen: ``name, provider, kind, source``, the one provider of each offered name (J7)
+    and what it gives: a spec or, for a constant, its whole block; source_mentions:
+    ``source, name`` that a source mentions; source_names: ``source, name`` that a block
+    declares beside the name it was asked for.
+
+    A round asks for every missing name; the sources asked for declare their names, and
+    only what they mention is looked at next.  Returns ``name, provider, kind, hop, asked``
+    (hop 0: declared from the start, without provider; not ``asked``: came with a block).
+    A block's name that two blocks of one round declare belongs to the smaller provider.
+    Names and sources are distinct before each join, so a name that a third of all specs
+    mention is one row there.
+    """
+    seen = materialize(declared.select("name").where(F.col("name").isNotNull()).distinct().select(
+        "name", F.lit(None).cast(chosen.schema["provider"].dataType).alias("provider"),
+        F.lit(None).cast("string").alias("kind"), F.lit(0).cast("bigint").alias("hop"), F.lit(True).alias("asked")), "declared")
+    frontier, rnd = mentions.select("name").distinct(), 0
+    while True:
+        rnd += 1
+        asked = materialize(chosen.join(frontier, "name", "left_semi").join(seen, "name", "left_anti"), f"asked{rnd}")
+        sources = asked.groupBy("source").agg(F.min("provider").alias("provider"), F.min("kind").alias("kind"))
+        given = sources.join(source_names, "source").select("name", "provider", "kind", F.lit(False).alias("asked"))
+        every = asked.select("name", "provider", "kind", F.lit(True).alias("asked")).unionByName(given)
+        best = F.min_by(F.struct("provider", "kind", "asked"), F.struct(~F.col("asked"), "provider"))
+        added = (every.groupBy("name").agg(best.alias("_b")).select("name", "_b.*").join(seen, "name", "left_anti")
+                 .select("name", "provider", "kind", F.lit(rnd).cast("bigint").alias("hop"), "asked"))
+        added, n_new = materialize(added, f"added{rnd}", with_count=True)
+        if n_new == 0:
+            return seen
+        seen = seen.unionByName(added)
+        if rnd % COMPACT_EVERY == 0:
+            seen = materialize(seen, "seen")
+        frontier = materialize(source_mentions.join(asked.select("source").distinct(), "source").select("name").distinct(),
+                               f"mentioned{rnd}")
+
+
 def min_seed(edges: DataFrame, group_cols: Sequence[str], src: str = "src",
              node: str = "key") -> DataFrame:
     """One seed per group: the smallest source node of its edges."""

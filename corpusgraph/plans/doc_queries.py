@@ -260,20 +260,62 @@ def c2_package_closure(spark, sf_dir):
     return C.reachable(seeds, _edges(units), ["corpus_id"], node="name")
 
 
-@register("c4_complete_missing", _PRE + f"""g_names AS (SELECT DISTINCT name FROM doc_units),
-g_edges AS (SELECT DISTINCT src, dst FROM doc_mentions m WHERE m.dst IN (SELECT name FROM g_names)),
-seeds AS (SELECT DISTINCT name AS key FROM doc_units WHERE corpus_id = '{ROOT_CORPUS}'),
-""" + Q.bfs("reach", "seeds", "g_edges", group=None) + """
-SELECT key AS name, hop FROM reach""")
+# Fixed value: the language whose units count as constants, a document of it as their block.
+BLOCK_LANG = "fr"
+
+
+@register("c4_complete_missing", "WITH RECURSIVE " + Q.doc_units() + f""",
+offers AS (
+  SELECT name, doc_id, lang, ln, mentions, row_number() OVER (PARTITION BY name
+    ORDER BY CASE lang {_RANK_SQL} ELSE -1 END DESC, doc_id, ln) AS rn
+  FROM doc_units WHERE corpus_id <> '{ROOT_CORPUS}'),
+chosen AS (SELECT name, doc_id, lang, mentions FROM offers WHERE rn = 1),
+blocks AS (SELECT doc_id, name, mentions FROM doc_units WHERE corpus_id <> '{ROOT_CORPUS}' AND lang = '{BLOCK_LANG}'),
+asks AS (
+  SELECT DISTINCT TRUE AS at_root, '' AS src, unnest(mentions) AS dst FROM doc_units WHERE corpus_id = '{ROOT_CORPUS}'
+  UNION ALL SELECT FALSE, name, unnest(mentions) FROM chosen WHERE lang IS DISTINCT FROM '{BLOCK_LANG}'
+  UNION ALL SELECT DISTINCT FALSE, c.name, unnest(b.mentions) FROM chosen c JOIN blocks b
+    ON b.doc_id = c.doc_id AND c.lang = '{BLOCK_LANG}'),
+adds AS (
+  SELECT name AS req, name, doc_id, lang, TRUE AS asked FROM chosen
+  UNION ALL SELECT DISTINCT c.name, b.name, c.doc_id, c.lang, FALSE FROM chosen c JOIN blocks b
+    ON b.doc_id = c.doc_id AND c.lang = '{BLOCK_LANG}' AND b.name <> c.name),
+found(name, provider, kind, hop, asked, src) USING KEY (name) AS (
+  SELECT DISTINCT name, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), TRUE, ''
+  FROM doc_units WHERE corpus_id = '{ROOT_CORPUS}'
+  UNION
+  SELECT a.name, arg_min(a.doc_id, {{'n': NOT a.asked, 'd': a.doc_id}}), arg_min(a.lang, {{'n': NOT a.asked, 'd': a.doc_id}}),
+         max(r.hop) + 1, bool_or(a.asked), a.name
+  FROM (SELECT DISTINCT hop, src, hop = 0 AS at_root FROM found WHERE asked) r
+  JOIN asks e ON e.at_root = r.at_root AND e.src = r.src JOIN adds a ON a.req = e.dst
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.found x WHERE x.name = e.dst)
+    AND NOT EXISTS (SELECT 1 FROM recurring.found x WHERE x.name = a.name)
+  GROUP BY a.name)
+SELECT name, provider, kind, hop FROM found""")
 def c4_complete_missing(spark, sf_dir):
-    """Start from everything the root source declares and keep adding what is
-    mentioned and declared by any source, to a fixed point."""
-    units = _narrow_once(spark, sf_dir)
-    names = units.select("name").distinct()
-    edges = symbols.known_refs(A.doc_mentions(units).select("src", "dst"),
-                               names.withColumnRenamed("name", "dst"), ["dst"])
-    seeds = units.where(F.col("corpus_id") == ROOT_CORPUS).select("name")
-    return C.reachable(seeds, edges, [], node="name")
+    """Start from what the root source declares and add, round by round, what is
+    mentioned and missing: of all other sources' units of a name the one of the language
+    of highest rank (then first) is added, and of constants the whole document."""
+    units = materialize(_units(spark, sf_dir).select("corpus_id", "doc_id", "lang", "ln", "name", "mentions"), "doc_names")
+    root = units.where(F.col("corpus_id") == ROOT_CORPUS)
+    block = F.coalesce(F.col("lang") == BLOCK_LANG, F.lit(False))
+    source = F.struct("doc_id", F.when(~block, F.col("ln")).alias("ln"))  # a block is a whole document
+    others = units.where(F.col("corpus_id") != ROOT_CORPUS).select(
+        "name", "lang", "mentions", F.struct("doc_id", "ln").alias("spec"), block.alias("block"), source.alias("source"))
+    chosen = symbols.provider_index(others, ["name"], "lang", LANG_RANK, provider="spec").select(
+        "name", F.col("spec.doc_id").alias("provider"), F.col("lang").alias("kind"),
+        F.struct(F.col("spec.doc_id").alias("doc_id"), F.when(~block, F.col("spec.ln")).alias("ln")).alias("source"))
+
+    def named(df: DataFrame) -> DataFrame:  # a source as one text, equal where both parts are
+        return df.withColumn("source", F.concat_ws(":", F.col("source.doc_id").cast("string"), F.col("source.ln").cast("string")))
+
+    chosen = materialize(named(chosen), "chosen")
+    asked = chosen.select("source").distinct()
+    given = materialize(named(others).join(asked, "source", "left_semi").select("source", "name", "block", "mentions"), "sources")
+    return C.complete_missing(
+        root, root.select(F.explode("mentions").alias("name")), chosen,
+        given.select("source", F.explode("mentions").alias("name")).distinct(),
+        given.where("block").select("source", "name").distinct()).drop("asked")
 
 
 # ------------------------------------------------------------------ W1 / R5 / O1

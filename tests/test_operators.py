@@ -144,3 +144,19 @@ def test_table_scope_deletes_what_it_wrote(spark):
         folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
         assert df.count() == 5 and os.path.isdir(folder)
     assert not os.path.exists(folder)
+
+
+def test_complete_missing_takes_specs_and_whole_blocks(spark):
+    """One provider a name; a constant brings its block and what the block mentions."""
+    from corpusgraph.plans.closure import complete_missing
+    f = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = complete_missing(
+        f([("main",), ("here",), (None,)], "name string"), f([("A",), ("here",), ("nowhere",)], "name string"),
+        f([("A", 1, "func", "s1"), ("C", 7, "const", "b7"), ("D", 7, "const", "b7"), ("E", 3, "type", "s3"),
+           ("F", 4, "func", "s4"), ("G", 5, "func", "s5"), ("here", 9, "func", "s9")],
+          "name string, provider long, kind string, source string"),
+        f([("s1", "C"), ("s1", "A"), ("b7", "E"), ("s3", "D"), ("s3", "H"), ("s9", "G"), ("s4", "G")], "source string, name string"),
+        f([("b7", "C"), ("b7", "D"), ("b7", "H"), ("b7", "main")], "source string, name string"))
+    assert {tuple(r) for r in out.collect()} == {
+        ("main", None, None, 0, True), ("here", None, None, 0, True), ("A", 1, "func", 1, True),
+        ("C", 7, "const", 2, True), ("D", 7, "const", 2, False), ("H", 7, "const", 2, False), ("E", 3, "type", 3, True)}
