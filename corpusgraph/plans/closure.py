@@ -28,9 +28,12 @@ class RoundLimitExceeded(RuntimeError):
 
 def reachable(seeds: DataFrame, edges: DataFrame, group_cols: Sequence[str] = ("corpus_id",),
               node: str = "key", src: str = "src", dst: str = "dst",
-              max_rounds: int | None = None) -> DataFrame:
+              max_rounds: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Nodes reachable from ``seeds`` over ``edges``, with the smallest hop.
 
+    ``carry``: further columns of the seeds that travel along (an owner, say): the
+    closure of each is its own, over the same edges.
+
     seeds: ``group_cols + [node]``; edges: ``group_cols + [src, dst]``.
     Returns ``group_cols + [node, hop]`` (hop 0 for seeds), one row per
     reached node.  Rounds = the largest eccentricity over all corpora, not
@@ -41,21 +44,21 @@ def reachable(seeds: DataFrame, edges: DataFrame, group_cols: Sequence[str] = ("
     whose last new node is in round ``max_rounds`` has converged.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
-    g = list(group_cols)
+    g, own = list(group_cols), [*group_cols, *carry]
     e = (edges.select(*g, F.col(src).alias("_s"), F.col(dst).alias(node))
          .where(F.col("_s").isNotNull() & F.col(node).isNotNull())
          .distinct())
     e = materialize(e, "edges")
-    frontier = materialize(seeds.select(*g, node).where(F.col(node).isNotNull()).distinct(), "seeds")
+    frontier = materialize(seeds.select(*own, node).where(F.col(node).isNotNull()).distinct(), "seeds")
     seen = frontier.withColumn("hop", F.lit(0).cast("bigint"))
     rnd = 0
     while True:
         rnd += 1
         step = (frontier.withColumnRenamed(node, "_s")
                 .join(e, [*g, "_s"])
-                .select(*g, node)
+                .select(*own, node)
                 .distinct()
-                .join(seen, [*g, node], "left_anti"))
+                .join(seen, [*own, node], "left_anti"))
         frontier, n_new = materialize(step, f"round{rnd}", with_count=True)
         if n_new == 0:
             return seen
@@ -80,6 +83,34 @@ def missing_symbols(mentions: DataFrame, declared: DataFrame, offered: DataFrame
             .join(offered.select(*(offered_on or on)).distinct(), list(offered_on or on), "left_semi"))
 
 
+def flatten_packages(imports: DataFrame, roots: DataFrame, group_cols: Sequence[str] = ("corpus_id",)) -> DataFrame:
+    """C3 with ``flatten``: which packages become part of which (Q21).
+
+    imports: ``group_cols, src, dst``; roots: ``group_cols, key``.  Every direct import of
+    the root is an owner; what it imports, directly or not, that neither the root nor
+    another direct import is, becomes part of it.  Returns ``group_cols, owner, key, hop``
+    (hop 0: the owner itself); a package private to two owners is part of both (Q22).
+    """
+    g = list(group_cols)
+    direct = materialize(imports.join(roots.select(*g, F.col("key").alias("src")), [*g, "src"])
+                         .where(F.col("dst") != F.col("src")).select(*g, F.col("dst").alias("key")).distinct(), "direct")
+    named = direct.unionByName(roots.select(*g, "key")).distinct().withColumnRenamed("key", "dst")  # J4
+    inner = imports.join(named, [*g, "dst"], "left_anti")
+    return reachable(direct.withColumn("owner", F.col("key")), inner, g, carry=["owner"])
+
+
+def flattened_names(members: DataFrame, declares: DataFrame, group_cols: Sequence[str] = ("corpus_id",),
+                    name: str = "name", order: Sequence[str] = ("hop", "key")) -> DataFrame:
+    """Who declares each name of an owner (Q21): ``group_cols, owner, name, key, winner, lost``
+    for every member ``key`` that declares it.  The parent wins over the child: the member
+    with the smallest ``order`` (fewest imports away, then by path); ``lost`` marks the others."""
+    g = list(group_cols)
+    every = materialize(members.join(declares.select(*g, "key", name).distinct(), [*g, "key"]), "flat_names")
+    best = every.groupBy(*g, "owner", name).agg(F.min_by("key", F.struct(*order)).alias("winner"))
+    return every.join(best, [*g, "owner", name]).select(
+        *g, "owner", name, "key", "winner", (F.col("key") != F.col("winner")).alias("lost"))
+
+
 def complete_missing(declared: DataFrame, mentions: DataFrame, chosen: DataFrame, source_mentions: DataFrame,
                      source_names: DataFrame) -> DataFrame:
     """C4: add what is mentioned, not declared and offered, until nothing is missing.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import lex, links, symbols
+from ..session import materialize
 from ..sources import files as sources
 from . import adapters as A
 from . import closure as C
@@ -224,3 +225,40 @@ def c3_transitive_packages(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
     seeds = nodes.agg(F.min("host").alias("host")).select(F.concat(F.lit("o:"), "host").alias("key"))
     return _owners(C.reachable(seeds, A.page_links(nodes, "host"), []), "host", "string")
+
+
+@register("c3_flatten_packages", _PRE + """host_of AS (SELECT page_id, host FROM page_nodes),
+host_edges AS (
+  SELECT DISTINCT a.host AS src, b.host AS dst FROM page_edges e
+  JOIN host_of a ON a.page_id = e.src JOIN host_of b ON b.page_id = e.dst WHERE a.host <> b.host),
+root AS (SELECT min(host) AS host FROM page_nodes),
+direct AS (SELECT DISTINCT dst AS host FROM host_edges WHERE src = (SELECT host FROM root)),
+inner_edges AS (SELECT * FROM host_edges WHERE dst NOT IN (SELECT host FROM direct) AND dst <> (SELECT host FROM root)),
+seeds AS (SELECT host AS owner, host AS key FROM direct),
+members(owner, key, hop) USING KEY (owner, key) AS (
+  SELECT owner, key, CAST(0 AS BIGINT) FROM seeds
+  UNION
+  SELECT r.owner, e.dst, min(r.hop + 1) FROM members r JOIN inner_edges e ON e.src = r.key
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.members x WHERE x.owner = r.owner AND x.key = e.dst)
+  GROUP BY r.owner, e.dst),
+names AS (
+  SELECT m.owner, n.name, m.key, row_number() OVER (PARTITION BY m.owner, n.name ORDER BY m.hop, m.key) AS rn
+  FROM members m JOIN (SELECT DISTINCT host, name FROM page_nodes WHERE name <> '') n ON n.host = m.key)
+SELECT owner, name, max(CASE WHEN rn = 1 THEN key END) AS winner, CAST(count(*) - 1 AS BIGINT) AS n_lost
+FROM names GROUP BY owner, name""")
+def c3_flatten_packages(spark, sf_dir):
+    """Hosts as packages: the titles that each host the root host links to gets when the
+    hosts private to it become part of it, whose page wins, and how many lose."""
+    nodes = materialize(_nodes(spark, sf_dir).select("host", "name", "refs"), "hosts")
+    links_of = A.page_links(nodes, "host")
+    own = lambda c: F.substr(F.col(c), F.lit(3))
+    # Word nodes stay in between, so that a title of many hosts costs no pairs of them.
+    root = nodes.agg(F.min("host").alias("host")).select(F.concat(F.lit("o:"), "host").alias("key"))
+    words = links_of.join(root.withColumnRenamed("key", "src"), "src").select(F.col("dst").alias("src"))
+    direct = links_of.join(words, "src").select(F.col("dst").alias("key")).join(root, "key", "left_anti").distinct()
+    named = direct.unionByName(root).withColumnRenamed("key", "dst")
+    members = C.reachable(direct.withColumn("owner", F.col("key")), links_of.join(named, "dst", "left_anti"), [],
+                          carry=["owner"]).where(F.col("key").startswith("o:"))
+    members = members.select(own("owner").alias("owner"), own("key").alias("key"), "hop")
+    found = C.flattened_names(members, nodes.where("name <> ''").select(F.col("host").alias("key"), "name"), [])
+    return found.groupBy("owner", "name").agg(F.min("winner").alias("winner"), F.count_if("lost").alias("n_lost"))
