@@ -36,7 +36,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 STATE_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE,
                   "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
                   "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-                  "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96"}
+                  "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "32"}
 #: Text files of the log in one micro-batch; more files make more batches.
 FILES_PER_BATCH = 20_000
 

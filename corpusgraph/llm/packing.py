@@ -39,7 +39,7 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 #: Bounds of what a worker remembers of chunks and of words, in bytes of memory.
-CHUNK_CACHE, WORD_CACHE = 24 << 20, 72 << 20
+CHUNK_CACHE, WORD_CACHE = 10 << 20, 40 << 20
 #: Bytes of a dictionary's slot, kept partly empty, beside key and value.
 SLOT = 72
 
