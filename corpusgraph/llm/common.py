@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 #: Text bytes handled at once inside a task; one longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch, and bytes from which on it takes no further row.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
