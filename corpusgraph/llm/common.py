@@ -103,6 +103,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text",
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    Rolling.tables.clear()  # idle workers hold no tables
 
 
 def keep_rows(docs: DataFrame, decider: Callable[[], Callable], text_col: str = "text",
@@ -135,7 +136,7 @@ class Rolling:
     prefix sums of ``x[i] * base**i`` and the inverse powers.  Equal ranges have
     equal hashes wherever they stand."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, x: np.ndarray, base: int):
         power, self.inverse = self._table(base, len(x) + 1)
@@ -144,14 +145,14 @@ class Rolling:
 
     @classmethod
     def _table(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = cls._powers.get(base)
+        have = cls.tables.get(base)
         if have is None or len(have[0]) < n:
             size = 1 << max(10, n - 1).bit_length()
             power, inverse = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
             power[0] = inverse[0] = 1
             have = (np.cumprod(power), np.cumprod(inverse))
             if size <= 2 * SLICE_BYTES:  # those of longer texts are made for them alone
-                cls._powers[base] = have
+                cls.tables[base] = have
         return have[0][:n], have[1][:n]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ WINDOW = 10
 #: Words of test phrases shipped to the tasks at once.
 PHRASE_WORDS = 2_000_000
 #: Text bytes per shard (a longer text is a shard of its own).
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Every so many suffix positions are kept.
 SAMPLE = 8
 
