@@ -7,6 +7,7 @@ row use ``rid``: a non-null unique long whose order is the order of ``doc_id``
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,6 +78,18 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]:off[-1]], off - off[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def rest() -> None:
+    """Give back what a task has freed.  Workers wait for a minute after a task, beside
+    those that run, and their allocators keep freed memory until told not to."""
+    Rolling.tables.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 _remembered: dict[str, dict] = {}
 
 
@@ -103,7 +116,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text",
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
-    Rolling.tables.clear()  # idle workers hold no tables
+    rest()
 
 
 def keep_rows(docs: DataFrame, decider: Callable[[], Callable], text_col: str = "text",
