@@ -12,8 +12,9 @@ item is one window).  Each task takes its documents shard by shard and
    walking to sampled positions, and merges the covered words to spans.
 
 Shards are independent, so nothing is shuffled.  Phrases travel to the tasks in
-blocks of at most ``PHRASE_WORDS`` words, a pass each; the shipped size is
-bounded whatever the benchmark's size, and spans of several blocks are merged.
+blocks of bounded size, a pass each, and spans of several blocks are merged.  The
+benchmark is read through the driver and all blocks are shipped for one job, so
+their sum grows with the benchmark.
 
 Defined results: a null text has no words; repeated rows each get a row; null
 ``doc_id`` stays null; an item with a null id reads as the empty string; an empty

@@ -45,7 +45,8 @@ _LOWER[65:91] += 32
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 _LETTER = _ASCII_LETTER | (np.arange(256) >= 128)
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+#: Letters and number signs that are no digits; ``isalpha`` tells letters (category L).
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]")
 
 
 def sigmoid(a: np.ndarray) -> np.ndarray:
@@ -231,7 +232,8 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(full):
         letter[full] = np.add.reduceat(_ASCII_LETTER[data], off[:-1][full], dtype=np.int64) > 0
         for k in full[~letter[full]].tolist():  # few: without an ASCII letter
-            letter[k] = bool(_ANY_LETTER.search(data[off[k]:off[k + 1]].tobytes().decode("utf-8", "replace")))
+            text = data[off[k]:off[k + 1]].tobytes().decode("utf-8", "replace")
+            letter[k] = any(m[0].isalpha() for m in _MAY_BE_LETTER.finditer(text))
     return letter
 
 

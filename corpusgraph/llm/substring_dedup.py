@@ -2,9 +2,9 @@
 
 Windows of 20 words that also start earlier (smaller row, or the same document and
 an earlier start) are repeats.  Seeds are winnowed anchors of five words (see
-``anchors``).  Documents meet on a seed; it is extended both ways, word by word as
-far as its windows reach, by hashes of the windows around it, and what is kept is
-the union of the windows: the maximal repeat over the length threshold.
+``anchors``).  Documents meet on a seed; the hashes of the windows around it are
+compared, and what goes is the union of the equal windows: the maximal repeat over
+the length threshold.  Words are not compared one by one outwards from a seed.
 
 Defined results: a null text has no words; texts shorter than a window lose
 nothing; repeated rows are copies (the first by ``doc_id``, then by row number,

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -46,6 +47,12 @@ def test_prediction_does_not_depend_on_neighbours_or_blocks(monkeypatch):
         assert np.allclose(L.predict(net, *text_buffers(pa.array([t])))[0], whole[k], atol=1e-5)
 
 
+def test_letters_are_of_category_l():
+    texts = ["½ ² ①", "Ⅷ 12", "ª", "ελλ", "語", "", "1 _ !", "½x"]
+    want = [any(unicodedata.category(c).startswith("L") for c in t) for t in texts]
+    assert L.has_letter(*text_buffers(pa.array(texts))).tolist() == want == [False, False, True, True, True, False, False, True]
+
+
 def rows():
     r = random.Random(5)
     out = [(k, text(("xx", "yy")[k % 2], r.randint(5, 40), r), ("xx", "yy")[k % 2]) for k in range(200)]

@@ -21,7 +21,7 @@ def test_stages_equal_brute_force(spark):
         assert out.columns == docs.columns, name
         got = sorted(r.doc_id for r in out.collect())
         if name == "language_id":
-            want = [k for k, t in rows if t and re.search(r"[^\W\d_]", t)]
+            want = [k for k, t in rows if t and any(c.isalpha() for c in t)]
         elif name == "exact_dedup":
             first = {}
             for k, t in rows:
@@ -46,4 +46,4 @@ def test_run_is_registered(spark):
 
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
