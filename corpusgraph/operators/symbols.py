@@ -65,61 +65,53 @@ def keep_first_greedy(specs: DataFrame, group_cols: Sequence[str], spec_col: str
     """A2: a spec is kept only if none of its names belongs to an earlier *kept*
     spec of the same group; names of dropped specs do not block anything.
 
-    Exact and distributed, without collecting a group: per round, for every
-    (group, name) take the first *alive* (kept or undecided) spec and the first
-    *kept* spec.  An undecided spec is kept when it is the first alive spec of
-    all its names, dropped when some name already has an earlier kept spec.
-    The first undecided spec of every group is decided in each round (usually
-    whole runs are), and dropped specs leave the working set for good.
-    Per-name minima are map-side aggregates, so a name shared by a third of
+    Exact and distributed, without collecting a group.  In a round, the first undecided
+    spec of every name is found; a spec that is first for all its names is kept, and every
+    undecided spec that holds a name of a kept one is decided with it.  So the first
+    undecided spec of every group is decided in each round (usually whole runs are).
+    Decisions are only ever appended; the worklist of undecided specs is written anew
+    when half of it is decided, so that all rounds together write at most three rows for
+    each spec.  Per-name minima are map-side aggregates, so a name shared by a third of
     all specs is no hot task.  Returns ``specs`` plus boolean ``kept``.
-    ``_`` is not a name (it never blocks).
+    ``_`` is not a name (it never blocks); a null group is a group of its own.
     """
     ensure_checkpoint_dir(specs.sparkSession)
-    g = list(group_cols)
-    ids = list(dict.fromkeys([spec_col, order_col]))
-    spec_names = (specs.select(*g, *ids, F.explode(names_col).alias("_name"))
-                  .where(F.col("_name") != "_").distinct())
-    # Working set: (spec, name, status) of specs that are not dropped.  When no
-    # spec is undecided any more it holds exactly the kept specs.
-    work = materialize(spec_names.withColumn("_st", F.lit(None).cast("boolean")), "greedy_work")
-    rnd = 0
-    while True:
+    ids = list(dict.fromkeys([*group_cols, spec_col, order_col]))
+    names = F.filter(F.coalesce(F.col(names_col), F.array().cast("array<string>")), lambda n: n != "_")
+    group = F.struct(*group_cols) if group_cols else F.lit(0)
+    # Structs compare null fields as equal, so null groups and ids join like others.
+    work, n_open = materialize(
+        specs.select(group.alias("_g"), F.struct(*ids).alias("_id"), F.col(order_col).alias("_o"), names.alias("_names"))
+        .where(F.size("_names") > 0), "greedy_work", with_count=True)
+    decided, recent, n_recent, rnd = None, None, 0, 0
+    while n_open:
         rnd += 1
         if max_rounds is not None and rnd > max_rounds:
             raise RuntimeError(f"greedy policy did not converge within {max_rounds} rounds")
-        per_name = work.groupBy(*g, "_name").agg(
-            F.min(F.col(order_col)).alias("_alive"),
-            F.min(F.when(F.col("_st"), F.col(order_col))).alias("_kept"))
-        votes = (work.where(F.col("_st").isNull())
-                 .join(per_name, [*g, "_name"])
-                 .groupBy(*g, *ids).agg(
-                     F.bool_or(F.col("_kept") < F.col(order_col)).alias("_drop"),
-                     F.bool_and(F.col("_alive") == F.col(order_col)).alias("_keep"))
-                 .select(*g, *ids, F.when(F.col("_drop"), F.lit(False))
-                         .when(F.col("_keep"), F.lit(True)).alias("_new")))
-        nxt = (work.join(votes, [*g, *ids], "left")
-               .withColumn("_st", F.coalesce("_st", "_new")).drop("_new")
-               .where(F.col("_st").isNull() | F.col("_st")))
-        work, n_open = _write_counting_open(nxt, f"greedy_work{rnd}")
-        if n_open == 0:
+        open_ = work if recent is None else work.join(recent, "_id", "left_anti")
+        if recent is not None and 2 * n_recent >= n_open:
+            work, n_open = materialize(open_, "greedy_work", with_count=True)
+            open_, recent, n_recent = work, None, 0
+            if not n_open:
+                break
+        each = open_.select("_g", "_id", "_o", F.explode("_names").alias("_name"))
+        first = each.groupBy("_g", "_name").agg(F.min("_o").alias("_first"))
+        winners = (each.join(first, ["_g", "_name"]).groupBy("_g", "_id")
+                   .agg(F.bool_and(F.col("_first") == F.col("_o")).alias("_keep"), F.collect_set("_name").alias("_names"))
+                   .where("_keep"))
+        taken = winners.select("_g", F.col("_id").alias("_by"), F.explode("_names").alias("_name"))
+        step = (each.join(taken, ["_g", "_name"]).groupBy("_id")
+                .agg(F.bool_or(F.col("_id") == F.col("_by")).alias("_kept")))
+        step, n_new = materialize(step, f"greedy_decided{rnd}", with_count=True)
+        if not n_new:
             break
-    kept = work.select(*g, *ids).distinct().withColumn("_k", F.lit(True))
-    named = spec_names.select(*g, *ids).distinct().withColumn("_named", F.lit(True))
-    return (specs.join(kept, [*g, *ids], "left").join(named, [*g, *ids], "left")
-            .withColumn("kept", F.coalesce(F.col("_k"), ~F.coalesce(F.col("_named"), F.lit(False))))
-            .drop("_k", "_named"))
-
-
-def _write_counting_open(df: DataFrame, tag: str):
-    """Materialize the greedy working set and count its undecided rows in the
-    same job (``Observation``)."""
-    import uuid
-    from pyspark.sql import Observation
-    obs = Observation(f"open_{uuid.uuid4().hex[:8]}")
-    observed = df.observe(obs, F.count_if(F.col("_st").isNull()).alias("open"))
-    out = materialize(observed, tag)
-    return out, int(obs.get["open"])
+        decided = step if decided is None else decided.unionByName(step)
+        recent = step.select("_id") if recent is None else recent.unionByName(step.select("_id"))
+        n_recent += n_new
+    if decided is None:
+        return specs.withColumn("kept", F.lit(True))
+    return (specs.withColumn("_id", F.struct(*ids)).join(decided.where("_kept").distinct(), "_id", "left")
+            .withColumn("kept", F.coalesce("_kept", F.size(names) == 0)).drop("_id", "_kept"))
 
 
 def distinct_on(df: DataFrame, key: Sequence[str]) -> DataFrame:

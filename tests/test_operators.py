@@ -94,10 +94,12 @@ def test_keep_first_greedy_matches_sequential(spark):
             names = sorted({f"x{rnd.randrange(40)}" for _ in range(rnd.randrange(1, 4))})
             specs.append((grp, i, names))
     specs.append(("p", 999, ["_"]))
+    specs += [(None, i, [f"c{i}", f"c{i + 1}", "_"]) for i in range(40)]  # a chain: each blocks the next
+    specs += [("q", 2000 + i, ["hot"]) for i in range(300)]
     df = spark.createDataFrame(specs, "g string, o long, names array<string>")
     got = {(r.g, r.o): r.kept for r in symbols.keep_first_greedy(df, ["g"], "o", "o", "names").collect()}
     want = {}
-    for grp in ("p", "q"):
+    for grp in ("p", "q", None):
         seen = set()
         for g, o, names in sorted((s for s in specs if s[0] == grp), key=lambda s: s[1]):
             real = [n for n in names if n != "_"]
@@ -108,6 +110,23 @@ def test_keep_first_greedy_matches_sequential(spark):
     assert got == want
 
 
+def test_keep_first_greedy_writes_three_rows_a_spec_at_most(spark, monkeypatch):
+    written = []
+
+    def counting(df, tag, with_count=False):
+        out, n = materialize(df, tag, with_count=True)
+        written.append(n)
+        return (out, n) if with_count else out
+
+    monkeypatch.setattr(symbols, "materialize", counting)
+    specs = [("g", i, [f"c{i}", f"c{i + 1}"]) for i in range(24)]
+    df = spark.createDataFrame(specs, "g string, o long, names array<string>")
+    got = symbols.keep_first_greedy(df, ["g"], "o", "o", "names")
+    assert {r.o: r.kept for r in got.collect()} == {i: i % 2 == 0 for i in range(24)}
+    assert len(written) > 12 and sum(written) <= 3 * len(specs)
+    assert symbols.keep_first_greedy(df.where("false"), ["g"], "o", "o", "names").count() == 0
+
+
 def test_ordinal_prefix(spark):
     df = spark.range(1, 760).select(F.col("id"), S.ordinal_prefix("id").alias("p"))
     got = {r.id: r.p for r in df.collect()}
