@@ -145,3 +145,93 @@ def write_bundles(parts: DataFrame, path: str, group_col: str = "corpus_id",
         writer.text(path)
     else:
         writer.format(fmt).save(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    """File system and Hadoop path of ``path``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _versions(spark: SparkSession, path: str, committed: bool = True) -> list[int]:
+    """Numbers of the versions below ``path``; ``committed``: those whose write ended."""
+    fs, folder = _folder(spark, path)
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=")]
+    if committed:
+        success = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        found = [p for p in found if fs.exists(success(p, "_SUCCESS"))]
+    return sorted(int(p.getName()[2:]) for p in found)
+
+
+def commit_bundles(parts: DataFrame, path: str, group_col: str = "corpus_id",
+                   order_cols: Sequence[str] = ("ord",), text_col: str = "text",
+                   replace: bool = True) -> int:
+    """S6 with a commit: readers see all bundles of a run or none; returns its version.
+
+    The parts go to ``path/data/v=N`` (one folder per corpus), then a manifest of the live
+    corpora (``group_col, v, n_parts, n_bytes``) to ``path/manifest/v=N``.  A manifest
+    counts once its ``_SUCCESS`` marker, a single file, is there; until then readers keep
+    to the one before, so a run that ended halfway has no effect and can be repeated: it
+    takes the same number and overwrites what was left.  With ``replace`` corpora that
+    are not in ``parts`` vanish; otherwise the manifest names their earlier version.  One
+    writer at a time.  An empty run with ``replace`` leaves no bundles.
+    """
+    spark, base = parts.sparkSession, path.rstrip("/")
+    done = _versions(spark, f"{base}/manifest")
+    version = done[-1] + 1 if done else 1
+    keys = [group_col, *order_cols]
+    (parts.select(*keys, text_col).repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+     .write.mode("overwrite").partitionBy(group_col).parquet(f"{base}/data/v={version}"))
+    schema = parts.select(*order_cols, text_col, group_col).schema
+    # The manifest tells what was written, not what ``parts`` would give if computed again.
+    written = spark.read.schema(schema).parquet(f"{base}/data/v={version}")
+    live = written.groupBy(group_col).agg(
+        F.lit(version).cast("bigint").alias("v"), F.count(F.lit(1)).alias("n_parts"),
+        F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).cast("bigint").alias("n_bytes"))
+    if done and not replace:
+        before = spark.read.parquet(f"{base}/manifest/v={done[-1]}")
+        mine = live.select(F.col(group_col).alias("_mine"))
+        live = live.unionByName(before.join(mine, F.col(group_col).eqNullSafe(F.col("_mine")), "left_anti"))
+    live.write.mode("overwrite").parquet(f"{base}/manifest/v={version}")
+    return version
+
+
+def bundle_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest committed manifest, or None before the first commit."""
+    done = _versions(spark, f"{path.rstrip('/')}/manifest")
+    return spark.read.parquet(f"{path.rstrip('/')}/manifest/v={done[-1]}") if done else None
+
+
+def read_bundles(spark: SparkSession, path: str, schema: str = "ord int, text string",
+                 group_col: str = "corpus_id") -> DataFrame:
+    """The committed parts: ``group_col`` and the columns of ``schema`` (order and text).
+
+    Only folders that the manifest names are read (partition pruning by the join), so
+    leftovers of a run that ended halfway are never seen.
+    """
+    base, live = path.rstrip("/"), bundle_manifest(spark, path)
+    columns = f"{schema}, v bigint, {group_col} string"
+    if live is None:
+        return spark.createDataFrame([], columns).drop("v")
+    data = spark.read.schema(columns).parquet(f"{base}/data")
+    named = live.select(F.col(group_col).cast("string").alias("_live"), F.col("v").alias("_v"))
+    return data.join(named, data["v"].eqNullSafe(named["_v"]) & data[group_col].eqNullSafe(named["_live"]),
+                     "left_semi").drop("v")
+
+
+def vacuum_bundles(spark: SparkSession, path: str) -> list[int]:
+    """Delete data versions that the newest manifest does not name and older manifests;
+    returns the data versions deleted.  Not while a run writes or old versions are read."""
+    base, live = path.rstrip("/"), bundle_manifest(spark, path)
+    if live is None:
+        return []
+    named = {r.v for r in live.select("v").distinct().collect()}  # one row a version
+    newest = _versions(spark, f"{base}/manifest")[-1]
+    gone = [v for v in _versions(spark, f"{base}/data", committed=False) if v not in named]
+    old = [v for v in _versions(spark, f"{base}/manifest", committed=False) if v != newest]
+    for folder in [f"{base}/data/v={v}" for v in gone] + [f"{base}/manifest/v={v}" for v in old]:
+        fs, p = _folder(spark, folder)
+        fs.delete(p, True)
+    return gone

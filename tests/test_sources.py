@@ -4,10 +4,12 @@ bundle and read it back."""
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.plans.code_bundle import bundle_corpora
-from corpusgraph.sources.files import read_source_files, write_bundles
+from corpusgraph.sources.files import (bundle_manifest, commit_bundles, read_bundles, read_source_files,
+                                       vacuum_bundles, write_bundles)
 from tests.code_fixtures import NESTED
 
 
@@ -44,3 +46,53 @@ def test_read_bundle_write_roundtrip(spark):
     assert spark.read.text(dest).where(F.col("corpus_id") == "other").count() == 1
     lines = [r.value for r in spark.read.text(os.path.join(dest, "corpus_id=nested")).collect()]
     assert "\n".join(lines) == text
+
+
+def _bundles(spark, dest):
+    return sorted((r.corpus_id or "", r.ord, r.text) for r in read_bundles(spark, dest).collect())
+
+
+def test_commit_shows_whole_runs_only(spark):
+    dest = os.path.join(tempfile.mkdtemp(prefix="corpusgraph-commit-"), "bundles")
+    types = "corpus_id string, ord int, text string"
+    first = [("007", 1, "package a"), ("007", 2, "func main() {}"), ("b", 1, "package b"), (None, 1, "é")]
+    assert _bundles(spark, dest) == [] and vacuum_bundles(spark, dest) == []
+    assert commit_bundles(spark.createDataFrame(first, types), dest) == 1
+    want = sorted((c or "", o, t) for c, o, t in first)
+    assert _bundles(spark, dest) == want
+    sizes = {r.corpus_id: (r.v, r.n_parts, r.n_bytes) for r in bundle_manifest(spark, dest).collect()}
+    assert sizes == {"007": (1, 2, 23), "b": (1, 1, 9), None: (1, 1, 2)}
+
+    # a run that fails in its data: one corpus raises while the others are written
+    second = spark.createDataFrame([("007", 1, "package a2"), ("c", 1, "package c")], types)
+    bad = second.withColumn("text", F.when(F.col("corpus_id") == "c", F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost"):
+        commit_bundles(bad, dest)
+    assert _bundles(spark, dest) == want
+    # a run that ends between data and manifest, and one within its manifest
+    second.write.mode("overwrite").partitionBy("corpus_id").parquet(f"{dest}/data/v=2")
+    assert _bundles(spark, dest) == want
+    spark.createDataFrame([("c", 2, 1, 9)], "corpus_id string, v long, n_parts long, n_bytes long").write.parquet(
+        f"{dest}/manifest/v=2")
+    os.remove(f"{dest}/manifest/v=2/_SUCCESS")
+    assert _bundles(spark, dest) == want
+
+    # repeated, it takes the same number; others stay or vanish
+    assert commit_bundles(second, dest, replace=False) == 2
+    assert _bundles(spark, dest) == sorted([("", 1, "é"), ("007", 1, "package a2"), ("b", 1, "package b"), ("c", 1, "package c")])
+    assert vacuum_bundles(spark, dest) == []
+    assert commit_bundles(second, dest) == 3
+    after = [("007", 1, "package a2"), ("c", 1, "package c")]
+    assert _bundles(spark, dest) == after
+    assert vacuum_bundles(spark, dest) == [1, 2]
+    assert _bundles(spark, dest) == after and sorted(os.listdir(f"{dest}/data")) == ["v=3"]
+
+
+def test_commit_of_an_empty_run(spark):
+    dest = os.path.join(tempfile.mkdtemp(prefix="corpusgraph-commit-"), "bundles")
+    parts = spark.createDataFrame([("a", 1, "x")], "corpus_id string, ord int, text string")
+    commit_bundles(parts, dest)
+    commit_bundles(parts.where("false"), dest, replace=False)
+    assert _bundles(spark, dest) == [("a", 1, "x")]
+    commit_bundles(parts.where("false"), dest)
+    assert _bundles(spark, dest) == []
