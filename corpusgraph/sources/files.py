@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import materialize
 
 
 def read_source_files(spark: SparkSession, path: str, include: str = "*.go",
@@ -235,3 +236,46 @@ def vacuum_bundles(spark: SparkSession, path: str) -> list[int]:
         fs, p = _folder(spark, folder)
         fs.delete(p, True)
     return gone
+
+
+def read_corpora(spark: SparkSession, path: str, include: str = "*.go", manifest: str = "go.mod",
+                 module_directive: str = "module ", package_directive: str = "package ",
+                 root_package: str = "main", exclude_suffix: str | None = "_test.go") -> dict[str, DataFrame]:
+    """S1, S3 and S4 over a whole tree: every program below ``path``, in one call.
+
+    A folder with a ``manifest`` is the root of a module; a file belongs to the innermost
+    root above it.  Every package named ``root_package`` makes a corpus of the files of its
+    module (``corpus_id``: the package's folder below ``path``, ``.`` for ``path`` itself).
+    Returns ``files`` (corpus_id, path below the module's root, src) and ``manifests``
+    (corpus_id, module_name, root_pkg), which ``bundle_corpora`` takes as they are,
+    ``modules`` (root, module_name, n_programs; 0: nothing to bundle) and ``orphans``
+    (path of the files below no root).  A manifest without the directive is no root.
+    """
+    every = read_source_files(spark, path, include=f"{{{include},{manifest}}}", exclude_suffix=exclude_suffix)
+    # "./" makes ``path`` itself an ancestor of every file.
+    every = every.select(F.concat(F.lit("./"), "path").alias("path"), "file_name", "src")
+    sources = every.where(F.col("file_name") != manifest)
+    roots = first_directive(every.where(F.col("file_name") == manifest).select(S.parent_dir("path").alias("root"), "src"),
+                            "src", module_directive, ["root"])
+    roots = materialize(roots.select("root", F.regexp_extract("value", r'^"?([^"\s]+)', 1).alias("module_name")), "roots")
+    heads = first_directive(sources.select("path", "src"), "src", package_directive, ["path"])
+    heads = heads.select("path", F.regexp_extract("value", r"^(\w+)", 1).alias("package"))
+    # Only paths and names are placed; the texts are joined once, at the end.
+    places = nearest_root(sources.select("path"), roots).join(heads, "path", "left")
+    places = materialize(places.withColumn("rel", F.expr("substring(path, length(root) + 2)")), "places")
+    mains = (places.where(F.col("root").isNotNull() & (F.col("package") == root_package))
+             .select("root", S.parent_dir("rel").alias("root_pkg")).distinct())
+    folder = F.regexp_replace(F.concat_ws("/", "root", F.when(F.col("root_pkg") != "", F.col("root_pkg"))), r"^\./", "")
+    programs = materialize(mains.join(roots, "root").select("root", folder.alias("corpus_id"), "module_name", "root_pkg"),
+                           "programs")
+    members = places.where(F.col("root").isNotNull()).join(programs, "root").select("corpus_id", "path", "rel")
+    counts = programs.groupBy("root").agg(F.count(F.lit(1)).alias("n_programs"))
+    bare = F.expr("substring(path, 3)").alias("path")
+    return {
+        "files": sources.join(members, "path").select("corpus_id", F.col("rel").alias("path"), "src"),
+        "manifests": programs.select("corpus_id", "module_name", "root_pkg"),
+        "modules": roots.join(counts, "root", "left").select(
+            F.regexp_replace("root", r"^\./", "").alias("root"), "module_name",
+            F.coalesce("n_programs", F.lit(0)).cast("bigint").alias("n_programs")),
+        "orphans": places.where(F.col("root").isNull()).select(bare),
+    }

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.plans.code_bundle import bundle_corpora
-from corpusgraph.sources.files import (bundle_manifest, commit_bundles, read_bundles, read_source_files,
+from corpusgraph.sources.files import (bundle_manifest, commit_bundles, read_bundles, read_corpora, read_source_files,
                                        vacuum_bundles, write_bundles)
-from tests.code_fixtures import NESTED
+from tests.code_fixtures import FLAT, NESTED
 
 
 def test_read_bundle_write_roundtrip(spark):
@@ -96,3 +96,36 @@ def test_commit_of_an_empty_run(spark):
     assert _bundles(spark, dest) == [("a", 1, "x")]
     commit_bundles(parts.where("false"), dest)
     assert _bundles(spark, dest) == []
+
+
+def test_a_tree_of_many_programs_in_one_call(spark):
+    base = tempfile.mkdtemp(prefix="corpusgraph-tree-")
+    tree = {f"shop/{k}": v for k, v in NESTED.items()} | {f"x y/flat/{k}": v for k, v in FLAT.items()}
+    tree["shop/internal/lib/go.mod"] = "// a library inside\nmodule \"lib.example/inner\" // quoted\n"
+    tree["shop/internal/lib/lib.go"] = "package lib\n"
+    tree["shop/tool/main.go"] = "// package tool\npackage main\n\nfunc main() {}\n"
+    tree["shop/tool/main_test.go"] = "package main\n"
+    tree["shopping/loose.go"] = "package main\n"  # its folder's name only begins like a root's
+    tree["empty/go.mod"] = "go 1.21\n"
+    for rel, text in tree.items():
+        full = os.path.join(base, rel)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "w") as fh:
+            fh.write(text)
+    got = read_corpora(spark, base)
+    programs = {tuple(r) for r in got["manifests"].collect()}
+    assert programs == {("shop/app", "shopdemo", "app"), ("shop/tool", "shopdemo", "tool"), ("x y/flat", "flatdemo", "")}
+    assert {tuple(r) for r in got["modules"].collect()} == {
+        ("shop", "shopdemo", 2), ("x y/flat", "flatdemo", 1), ("shop/internal/lib", "lib.example/inner", 0)}
+    assert [r.path for r in got["orphans"].collect()] == ["shopping/loose.go"]
+    shop = {(k, v) for k, v in NESTED.items() if k.endswith(".go")} | {("tool/main.go", tree["shop/tool/main.go"])}
+    files = {}
+    for r in got["files"].collect():
+        files.setdefault(r.corpus_id, set()).add((r.path, r.src))
+    assert files == {"shop/app": shop, "shop/tool": shop, "x y/flat": {
+        (k, v) for k, v in FLAT.items() if k.endswith(".go") and not k.endswith("_test.go")}}
+    out = bundle_corpora(got["files"], got["manifests"])
+    assert {r.corpus_id: r.status for r in out["bundles"].collect()} == {c: "ok" for c in files}
+    dest = os.path.join(base, "out")
+    commit_bundles(out["parts"], dest, order_cols=["part"])
+    assert {r.corpus_id for r in read_bundles(spark, dest, "part bigint, text string").collect()} == set(files)
