@@ -7,6 +7,7 @@ stage.  The helpers here split a group over range partitions instead:
 * :func:`group_ordinal` — exact 1-based row number within a group, computed as
   "rows of this group in earlier range partitions" + "position inside this
   partition" (a zipWithIndex done with DataFrame operators).
+* :func:`fill_forward` — the last value at or before each row, carried over partitions.
 * :func:`ordered_parts` — a group's text in order, as numbered parts of a
   bounded number of rows; no cell ever holds a whole group.
 
@@ -47,6 +48,17 @@ def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     the numbers would not fit each other.  No task holds more than one range
     partition, however large a single group is.  Null groups are groups.
     """
+    ranged, stats = _ranged(df, group_cols, order_cols, partitions)
+    joined = null_safe_join(ranged, stats.select(*group_cols, "_pid", "_first", "_off"), [*group_cols, "_pid"])
+    return (joined
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
+            .drop("_pid", "_mid", "_first", "_off"))
+
+
+def _ranged(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], partitions: int | None = None,
+            *aggs: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows in written range partitions (``_pid``, and ``_mid`` rising within one), and per group
+    and partition ``_first``, ``_off`` (the group's rows in earlier partitions) and ``aggs``."""
     n = _n_partitions(df, partitions)
     keys = _cols([*group_cols, *order_cols])
     ranged = materialize(df.repartitionByRange(n, *keys)
@@ -55,14 +67,38 @@ def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
                          .withColumn("_mid", F.monotonically_increasing_id()), "ranged")
     # At most (#partitions a group spans) rows per group: small, safe to window.
     stats = ranged.groupBy(*group_cols, "_pid").agg(
-        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"), *aggs)
+    before = _earlier(group_cols)
+    return ranged, stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def _earlier(group_cols: Sequence[str]):
     spec = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
-    before = spec.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = null_safe_join(ranged, stats.select(*group_cols, "_pid", "_first", "_off"), [*group_cols, "_pid"])
-    return (joined
-            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
-            .drop("_pid", "_mid", "_first", "_off"))
+    return spec.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def fill_forward(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
+                 out: str = "carried", ord_col: str = "ord", from_col: str = "from_ord") -> DataFrame:
+    """Add ``out``, the last non-null ``value_col`` at or before each row of its group, ``ord_col``, the
+    row's place (from 1), and ``from_col``, the place that value stands at (both null before the first).
+
+    In two levels, so that no task holds a group: inside a range partition by a window, and over the
+    partitions of a group by a window over one row each.  Ties of ``order_cols`` are in any order;
+    null groups are groups.
+    """
+    last = F.max_by(F.struct(F.col(value_col).alias("v"), F.col("_mid").alias("m")),
+                    F.when(F.col(value_col).isNotNull(), F.col("_mid")))
+    ranged, stats = _ranged(df, group_cols, order_cols, None, last.alias("_l"))
+    stats = stats.withColumn("_l", F.when(F.col("_l").isNotNull(), F.struct(
+        F.col("_l.v").alias("v"), (F.col("_off") + F.col("_l.m") - F.col("_first") + 1).alias("o"))))
+    stats = stats.withColumn("_held", F.last("_l", ignorenulls=True).over(_earlier(group_cols)))
+    j = null_safe_join(ranged, stats.select(*group_cols, "_pid", "_first", "_off", "_held"), [*group_cols, "_pid"])
+    j = j.withColumn(ord_col, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
+    own = F.when(F.col(value_col).isNotNull(), F.struct(F.col(value_col).alias("v"), F.col(ord_col).alias("o")))
+    upto = Window.partitionBy(*group_cols, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("_held", F.coalesce(F.last(own, ignorenulls=True).over(upto), F.col("_held")))
+    return (j.withColumn(out, F.col("_held.v")).withColumn(from_col, F.col("_held.o").cast("bigint"))
+            .drop("_pid", "_mid", "_first", "_off", "_held"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -204,3 +204,12 @@ def type_method_edges(types: DataFrame, methods: DataFrame, group_cols: Sequence
     m = methods.select(*group_cols, F.col(recv_col).alias("src"), F.col(method_key).alias("dst"))
     return t.join(m, [*group_cols, "src"]).select(*group_cols, "src", "dst",
                                                   F.lit("method").alias("rule"))
+
+
+def block_edges(rows: DataFrame, group_cols: Sequence[str], block: str, key: str) -> DataFrame:
+    """A6 as edges: any member of a block reaches all others.  The block is a node of its
+    own between them, so a block of M members makes 2 M edges.  Rows without a block make none."""
+    r = rows.where(F.col(block).isNotNull() & F.col(key).isNotNull()).select(
+        *group_cols, F.col(key).alias("src"), F.col(block).alias("dst")).distinct()
+    back = r.select(*group_cols, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return r.unionByName(back).withColumn("rule", F.lit("block"))

@@ -1,7 +1,9 @@
 """Fixed points over the mention graph (C1-C4) and pruning.
 
 ``reachable`` is the only driver loop in the library: one iteration per
-*round* of a semi-naive breadth-first search, for all corpora at once.  Each
+*round* of a semi-naive breadth-first search, for all corpora at once.  The
+edges are laid out by their source once (buckets, sources of many edges in
+parts), so a round moves only its frontier.  Each
 round joins only the new frontier with the edge table, removes what was seen
 (``left_anti``) and checkpoints the result to the reliable checkpoint
 directory, so lineage stays one round deep and a lost executor only costs the
@@ -10,16 +12,20 @@ current round.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize, materialize_bucketed
+from ..operators import symbols
 
 
 #: Rounds after which the tables of seen nodes become one again.
 COMPACT_EVERY = 8
+#: Edges of one source that one task reads; a source of more is split.
+HUB_EDGES = 100_000
 
 
 class RoundLimitExceeded(RuntimeError):
@@ -28,12 +34,17 @@ class RoundLimitExceeded(RuntimeError):
 
 def reachable(seeds: DataFrame, edges: DataFrame, group_cols: Sequence[str] = ("corpus_id",),
               node: str = "key", src: str = "src", dst: str = "dst",
-              max_rounds: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+              max_rounds: int | None = None, carry: Sequence[str] = (),
+              written: bool = False, hub_edges: int = HUB_EDGES) -> DataFrame:
     """Nodes reachable from ``seeds`` over ``edges``, with the smallest hop.
 
     ``carry``: further columns of the seeds that travel along (an owner, say): the
     closure of each is its own, over the same edges.
 
+    ``written``: the edges are a table already, each edge once (saves a write).
+    ``hub_edges``: a source with more edges is split by a hash of the other end, so that
+    no task reads a hub; its frontier row goes to every part.
+
     seeds: ``group_cols + [node]``; edges: ``group_cols + [src, dst]``.
     Returns ``group_cols + [node, hop]`` (hop 0 for seeds), one row per
     reached node.  Rounds = the largest eccentricity over all corpora, not
@@ -45,21 +56,20 @@ def reachable(seeds: DataFrame, edges: DataFrame, group_cols: Sequence[str] = ("
     """
     ensure_checkpoint_dir(seeds.sparkSession)
     g, own = list(group_cols), [*group_cols, *carry]
-    e = (edges.select(*g, F.col(src).alias("_s"), F.col(dst).alias(node))
-         .where(F.col("_s").isNotNull() & F.col(node).isNotNull())
-         .distinct())
-    e = materialize(e, "edges")
+    e, hubs, name = _laid_out(edges, g, node, src, dst, written, hub_edges)
     frontier = materialize(seeds.select(*own, node).where(F.col(node).isNotNull()).distinct(), "seeds")
     seen = frontier.withColumn("hop", F.lit(0).cast("bigint"))
     rnd = 0
     while True:
         rnd += 1
-        step = (frontier.withColumnRenamed(node, "_s")
-                .join(e, [*g, "_s"])
+        step = (_to_parts(frontier.withColumnRenamed(node, "_s"), hubs, g)
+                .join(e, [*g, "_s", "_p"])
                 .select(*own, node)
                 .distinct()
                 .join(seen, [*own, node], "left_anti"))
         frontier, n_new = materialize(step, f"round{rnd}", with_count=True)
+        if n_new == 0 or (max_rounds is not None and rnd > max_rounds):
+            seeds.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay until their scope ends
         if n_new == 0:
             return seen
         if max_rounds is not None and rnd > max_rounds:
@@ -69,6 +79,53 @@ def reachable(seeds: DataFrame, edges: DataFrame, group_cols: Sequence[str] = ("
             seen = materialize(seen, "seen")
 
 
+def _laid_out(edges: DataFrame, g: Sequence[str], node: str, src: str, dst: str, written: bool,
+              hub_edges: int) -> tuple[DataFrame, DataFrame | None, str]:
+    """The edges in buckets of (group, source, part), the sources of more than one part with
+    their number ``_k`` (None if there are none), and the table's name.  There are at most edges / hub_edges such sources."""
+    e = (edges.select(*g, F.col(src).alias("_s"), F.col(dst).alias(node))
+         .where(F.col("_s").isNotNull() & F.col(node).isNotNull()))
+    if not written:
+        e = materialize(e.distinct(), "edges")
+    hubs, n = materialize(e.groupBy(*g, "_s").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hub_edges)
+                          .select(*g, "_s", F.ceil(F.col("_n") / hub_edges).cast("int").alias("_k")), "hubs", with_count=True)
+    hubs = hubs if n else None
+    parted = e.withColumn("_p", F.lit(0)) if hubs is None else e.join(hubs, [*g, "_s"], "left").select(
+        *g, "_s", node, F.pmod(F.xxhash64(node), F.coalesce("_k", F.lit(1))).cast("int").alias("_p"))
+    name = f"corpusgraph_edges_{uuid.uuid4().hex}"
+    return materialize_bucketed(parted, [*g, "_s", "_p"], name), hubs, name
+
+
+def _to_parts(frontier: DataFrame, hubs: DataFrame | None, g: Sequence[str]) -> DataFrame:
+    """Every frontier row to every part ``_p`` of its source."""
+    if hubs is None:
+        return frontier.withColumn("_p", F.lit(0))
+    parts = F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1)
+    return frontier.join(hubs, [*g, "_s"], "left").withColumn("_p", F.explode(parts)).drop("_k")
+
+
+def typed_closure(seeds: DataFrame, mentions: DataFrame, methods: DataFrame, blocks: DataFrame,
+                  group_cols: Sequence[str] = ("corpus_id",)) -> DataFrame:
+    """Closure over three rules at once.
+
+    seeds: ``group_cols, key``; mentions and methods: ``group_cols, src, dst`` (what a symbol
+    mentions, a type's methods, J9); blocks: ``group_cols, block, key``, of which any member
+    reaches all others (A6).  Returns ``group_cols, key, hop``; a step into a block and a step
+    out of it count one each.  A block may have the name of a symbol.
+    """
+    g = list(group_cols)
+
+    def own(name: str):
+        return F.concat(F.lit("n"), F.col(name).cast("string"))
+
+    rules = mentions.select(*g, own("src").alias("src"), own("dst").alias("dst")).unionByName(
+        methods.select(*g, own("src").alias("src"), own("dst").alias("dst"))).unionByName(
+        symbols.block_edges(blocks.select(*g, F.concat(F.lit("b"), F.col("block").cast("string")).alias("block"),
+                                          own("key").alias("key")), g, "block", "key").drop("rule"))
+    out = reachable(seeds.select(*g, own("key").alias("key")), rules, g)
+    return out.where(F.col("key").startswith("n")).withColumn("key", F.expr("substring(key, 2)"))
+
+
 def prune(units: DataFrame, reach: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keep the units whose key was reached (``left_semi``; roots are in
     ``reach`` with hop 0, so they always stay)."""

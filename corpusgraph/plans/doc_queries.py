@@ -51,7 +51,7 @@ def _edges(units: DataFrame) -> DataFrame:
 def _reach_from_min(units: DataFrame) -> DataFrame:
     edges = materialize(_edges(units), "doc_edges")
     seeds = C.min_seed(edges, ["corpus_id"], node="name")
-    return C.reachable(seeds, edges, ["corpus_id"], node="name")
+    return C.reachable(seeds, edges, ["corpus_id"], node="name", written=True)
 
 
 _PRE = "WITH RECURSIVE " + Q.doc_units() + ",\n"

@@ -106,3 +106,16 @@ def materialize(df: DataFrame, tag: str = "step", with_count: bool = False):
         return spark.read.schema(schema).parquet(path), n
     df.write.mode("error").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+    """Write ``df`` in buckets of ``cols``, a file each, as the table ``name`` whose files lie under
+    the checkpoint directory, and read it back: joins on ``cols`` then need no shuffle of it.
+    The name is the caller's to drop; the files go with their :func:`table_scope`."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpusgraph-tables/{name}"
+    _tables.append(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *cols).write.mode("error").format("parquet").option("path", path).bucketBy(
+        n, *cols).saveAsTable(name)
+    return spark.table(name)

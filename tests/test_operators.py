@@ -179,3 +179,82 @@ def test_complete_missing_takes_specs_and_whole_blocks(spark):
     assert {tuple(r) for r in out.collect()} == {
         ("main", None, None, 0, True), ("here", None, None, 0, True), ("A", 1, "func", 1, True),
         ("C", 7, "const", 2, True), ("D", 7, "const", 2, False), ("H", 7, "const", 2, False), ("E", 3, "type", 3, True)}
+
+
+def test_fill_forward_matches_window(spark):
+    """Groups over several range partitions, null groups, long gaps, nothing to carry."""
+    from corpusgraph.functions.ordering import fill_forward
+    r = random.Random(5)
+    rows = [(None if k % 7 == 0 else f"g{k % 3}", k, f"v{k}" if r.random() < 0.02 else None) for k in range(4000)]
+    rows += [("none", k, None) for k in range(50)]
+    df = spark.createDataFrame(rows, "g string, o long, v string").repartition(5)
+    got = {(x.g, x.o): (x.ord, x.carried, x.from_ord) for x in fill_forward(df, ["g"], ["o"], "v").collect()}
+    want, held, place = {}, {}, {}
+    for g, o, v in sorted(rows, key=lambda x: x[1]):
+        place[g] = place.get(g, 0) + 1
+        if v is not None:
+            held[g] = (v, place[g])
+        want[g, o] = (place[g], *held.get(g, (None, None)))
+    assert got == want
+    assert fill_forward(df.where("false"), ["g"], ["o"], "v").count() == 0
+
+
+def test_const_specs_carry_their_expression(spark):
+    """Implied specs stand for the last expression of their own block, at their own ordinal."""
+    from corpusgraph.operators import lex
+    src = ("package p\n\nconst (\n\tA T = 1 << iota // first\n\tB\n\tC, D = \"x=y\", f(1,\n\t\t2)\n\tE, F\n)\n\n"
+           "const Lone = 3\n\nconst (\n\tG = iota\n\tH\n)\n\nvar (\n\tv = 1\n\tw int\n)\n")
+    files = spark.createDataFrame([("c", "", "p.go", src)], "corpus_id string, pkg_path string, path string, src string")
+    specs, _ = lex.split_specs(lex.with_structure(lex.tokenize(files)))
+    rows = lex.const_expressions(specs).orderBy("decl_no", "ordinal").collect()
+    got = [(x.text.split()[0].rstrip(","), x.ordinal, x.explicit, " ".join(x.value.split()), x.from_ordinal) for x in rows]
+    two = '= "x=y", f(1, 2)'
+    assert got == [("A", 0, True, "T = 1 << iota", 0), ("B", 1, False, "T = 1 << iota", 0), ("C", 2, True, two, 2),
+                   ("E", 3, False, two, 2), ("Lone", 0, True, "= 3", 0), ("G", 0, True, "= iota", 0), ("H", 1, False, "= iota", 0)]
+
+
+def test_reachable_splits_a_hub_and_moves_no_edges(spark):
+    """One node holds a third of the edges: the same closure, in parts, and no exchange of edges."""
+    from corpusgraph.plans import closure as C
+    r = random.Random(9)
+    edges = [("g", "hub", f"n{k}") for k in range(300)] + [("g", f"n{r.randrange(300)}", f"m{k}") for k in range(600)]
+    e = spark.createDataFrame(edges + edges[:50] + [("g", None, "x"), ("g", "hub", None)], "corpus_id string, src string, dst string")
+    s = spark.createDataFrame([("g", "hub")], "corpus_id string, key string")
+    whole = sorted(map(tuple, C.reachable(s, e).collect()))
+    assert whole == sorted(map(tuple, C.reachable(s, e, hub_edges=20).collect())) and len(whole) == 901
+    laid, hubs, name = C._laid_out(e, ["corpus_id"], "key", "src", "dst", False, 20)
+    assert [(h._s, h._k) for h in hubs.collect()] == [("hub", 15)]
+    most = laid.groupBy("_s", "_p").count().agg(F.max("count")).first()[0]
+    assert laid.count() == 900 and most <= 60
+    # Without a broadcast only the frontier is shuffled: no Exchange above the scan of the edges.
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = C._to_parts(s.withColumnRenamed("key", "_s"), hubs, ["corpus_id"]).join(laid, ["corpus_id", "_s", "_p"])
+        plan = step._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql(f"DROP TABLE {name}")
+    # Depth first, so what stands between the join and the scan of the edges, less deep than the scan.
+    indent = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    join = next(i for i, line in enumerate(plan) if "SortMergeJoin" in line)
+    scan = next(i for i, line in enumerate(plan) if name in line)
+    right = max(i for i in range(join, scan + 1) if indent[i] == indent[join] + 3)
+    path = "\n".join(plan[right:scan + 1])
+    assert "Bucketed: true" in path and "Exchange" not in path, "\n".join(plan)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("corpusgraph_edges")]
+
+
+def test_typed_closure_follows_all_three_rules(spark):
+    """A mention, a type's methods, a block's members; a block named like a symbol is another node."""
+    from corpusgraph.plans import closure as C
+    e = lambda rows, cols: spark.createDataFrame(rows, cols)
+    seeds = e([("p", "main"), ("q", "main")], "corpus_id string, key string")
+    mentions = e([("p", "main", "T"), ("p", "T.Run", "C1"), ("p", "C2", "far"), ("q", "main", "U")],
+                 "corpus_id string, src string, dst string")
+    methods = e([("p", "T", "T.Run"), ("p", "U", "U.Run"), ("q", "T", "T.Run")], "corpus_id string, src string, dst string")
+    blocks = e([("p", "unused", "C1"), ("p", "unused", "C2"), ("p", "b2", "C3"), ("q", "unused", "C1"), ("p", None, "T"), ("p", "unused", None)],
+               "corpus_id string, block string, key string")
+    got = sorted(map(tuple, C.typed_closure(seeds, mentions, methods, blocks).collect()))
+    assert got == [("p", "C1", 3), ("p", "C2", 5), ("p", "T", 1), ("p", "T.Run", 2), ("p", "far", 6), ("p", "main", 0),
+                   ("q", "U", 1), ("q", "main", 0)]
