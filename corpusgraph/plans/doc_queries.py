@@ -407,11 +407,13 @@ def r2_rename_tokens(spark, sf_dir):
     """Rename every word that its own source declares to ``x`` + word; per
     document: words, words changed, new length."""
     docs = A.table(spark, sf_dir, "documents").withColumnRenamed("source", "corpus_id")
-    renames = (A.doc_names(_units(spark, sf_dir)).withColumnRenamed("name", "old_name")
+    renames = (A.doc_names(_heads(spark, sf_dir)).withColumnRenamed("name", "old_name")
                .withColumn("new_name", F.concat(F.lit("x"), F.col("old_name"))))
     from ..operators import lex
     # A document's equal words are looked up once: the join moves distinct words
-    # with their counts, so a frequent word is no hot key.
+    # with their counts, so a frequent word is no hot key.  Whole texts move to their
+    # partition before they become words, which then are counted where they are.
+    docs = docs.select("doc_id", "corpus_id", "text").repartition("doc_id")
     toks = (lex.word_tokens(docs, ["doc_id", "corpus_id"], "text").groupBy("doc_id", "corpus_id", "word")
             .agg(F.count(F.lit(1)).alias("n")))
     out = rename.rename_tokens(toks, renames, ["corpus_id"], "word")
