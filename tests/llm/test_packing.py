@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -83,6 +84,22 @@ def test_random_chunks_and_a_full_cache(monkeypatch):
         assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_missing_words_go_to_the_tokenizer_together(monkeypatch):
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdeéßÇÿ") for _ in range(r.randint(1, 9))) + r.choice(["", "", ",", "***", "-b", "\t"])
+             for _ in range(3000)] + [".", "</w>", "<|endoftext|>", "<|", "'s", "x's", "\u00d7a", "a\u0301,"]
+    texts = [None, "", " \n ", *(" ".join(r.choices(words, k=r.randint(1, 400))) for _ in range(30))]
+    t, e, calls = Tokenizer.from_file(P.tokenizer_path()), P.Encoder(P.tokenizer_path()), []
+    tokens = e._tokens
+    monkeypatch.setattr(e, "_tokens", lambda x: calls.append(len(x)) or tokens(x))
+    monkeypatch.setattr(P, "PLACED", 7)
+    some = pa.array([*texts, "left out"], pa.string()).slice(1, len(texts) - 1)
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(some)] == [
+        t.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
+    assert len(calls) < 20
+    assert [*e.encode(texts)] == [b"", *e.encode(some)]
+
+
 def test_whole_query_on_edge_rows(spark):
     rows = [(1, "a b c"), (None, "a b c"), (2, None), (3, ""), (4, "x " * 9000), (1, "a b c"), (5, "dog " * 2000)]
     docs = spark.createDataFrame([(a, b, "z", 7) for a, b in rows], "doc_id long, text string, part string, rank int")
