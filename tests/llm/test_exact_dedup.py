@@ -57,3 +57,27 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = D.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_unique_ids_write_no_rows(spark):
+    """Only numbers and digests are written; the kept rows come from the input itself."""
+    from corpusgraph import session
+
+    docs = spark.createDataFrame([(i, "ab"[i % 2] * 2000 + str(i // 4)) for i in range(40)], "doc_id long, text string")
+    before = len(session._tables)
+    kept = D.dedup_stage(spark, docs, "")
+    for path in session._tables[before:]:
+        assert "row" not in spark.read.parquet(path).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(4 * i + j for i in range(10) for j in (0, 1))
+
+
+def test_without_moves_only_what_the_sieve_cannot_tell(spark):
+    from pyspark.sql import functions as F
+
+    from corpusgraph.llm.common import sieved, without
+
+    rows = spark.range(2000).select(F.col("id").alias("rid"), F.repeat(F.lit("x"), 3).alias("text"))
+    dropped = spark.range(0, 2000, 50).withColumnRenamed("id", "rid")
+    assert sorted(r.rid for r in without(rows, dropped).collect()) == [i for i in range(2000) if i % 50]
+    assert sieved(rows, dropped).count() < 60
+    assert "LeftAnti" not in without(rows, dropped)._jdf.queryExecution().optimizedPlan().toString()
