@@ -344,3 +344,29 @@ def test_words_of_a_document_are_counted_where_it_is(spark):
     plan = E.queries()["r2_rename_tokens"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     moves = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert not [m for m in moves if "hashpartitioning(doc_id" in m and "word" in m], plan
+
+
+def test_typed_closure_lays_out_a_rule_at_a_time(spark, monkeypatch):
+    """Also with a hub (its edges are then written again), and nothing but the nodes stays."""
+    from corpusgraph import session
+
+    one = lambda rows, cols: spark.createDataFrame(rows, cols)
+    mentions = one([(f"o{i}.1", f"o{i}") for i in range(40)] * 2, "src string, dst string")
+    methods = one([(f"o{i}", f"o{i}.1") for i in range(40)], "src string, dst string")
+    blocks = one([("b", f"o{i}.1") for i in range(0, 40, 2)] + [(None, "o1.1")], "block string, key string")
+    seeds = one([("o0",), ("o1",)], "key string")
+    want = {("o0", 0), ("o1", 0), ("o0.1", 1), ("o1.1", 1)} | {(f"o{i}.1", 3) for i in range(2, 40, 2)} | {
+        (f"o{i}", 4) for i in range(2, 40, 2)}
+    for hub in (C.HUB_EDGES, 5):
+        real = C.reachable
+        monkeypatch.setattr(C, "reachable", lambda *a, **k: real(*a, **{**k, "hub_edges": hub}))
+        before, written = len(session._tables), []
+        bucketed = session.materialize_bucketed
+        monkeypatch.setattr(C, "materialize_bucketed", lambda parts, cols, name: (
+            written.append(len(parts)), bucketed(parts, cols, name))[1])
+        out = C.typed_closure(seeds, mentions, methods, blocks, [])
+        assert {(r.key, r.hop) for r in out.collect()} == want
+        monkeypatch.undo()
+        assert written == ([4] if hub > 5 else [4, 1])
+        assert not [t for t in session._tables[before:] if "edges" in t]
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("corpusgraph_edges")]
